@@ -45,34 +45,34 @@ def frequencies(keyed: DataFrame, names: list[str], order: str) -> DataFrame:
     return (keyed.dropna(subset=names).groupBy(*names).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__first")))
 
 
-def _with_first(keyed: DataFrame, names: list[str], order: str) -> DataFrame:
-    """Rows of repeated keys with the key's first order value in __first."""
+def _tagged(keyed: DataFrame, names: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a complete key and its __n and __first: those of ordinary keys, and those of hot ones."""
     freq = frequencies(keyed, names, order)
-    repeated = freq.where("__n > 1")
-    total = freq.agg(F.sum("__n").alias("__total"))
-    hot = repeated.join(F.broadcast(total), F.col("__n") * HOT_SHARE > F.col("__total")).select(*names, "__first")
-    cold = repeated.join(F.broadcast(total), F.col("__n") * HOT_SHARE <= F.col("__total")).select(*names, "__first")
-    return keyed.join(F.broadcast(hot), names).unionByName(keyed.join(cold, names))
+    total = freq.agg(F.sum("__n")).scalar()
+    hot = F.broadcast(freq.where(F.col("__n") * HOT_SHARE > total).where("__n > 1"))
+    cold = freq.where((F.col("__n") * HOT_SHARE <= total) | (F.col("__n") == 1))
+    return keyed.join(hot.select(*names), names, "left_anti").join(cold, names), keyed.join(hot, names)
 
 
 def keep_one(df: DataFrame, keys: dict[str, Column], order: str) -> DataFrame:
     """Each message once, the row with the smallest order value; rows with an incomplete key all stay."""
     keyed, names = _keyed(df, keys)
-    whole = F.lit(True)
-    for n in names:
-        whole = whole & F.col(n).isNotNull()
-    freq = frequencies(keyed, names, order)
-    once = keyed.where(whole).join(freq.where("__n = 1").select(*names), names, "left_semi")
+    cold, hot = _tagged(keyed, names, order)
     w = Window.partitionBy(*names).orderBy(F.col(order).asc_nulls_last())
-    ranked = (keyed.where(whole).join(freq.where("__n > 1").select(*names), names, "left_semi")
-              .withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank"))
-    return once.unionByName(ranked).unionByName(keyed.where(~whole)).select(*[F.col(f"`{c}`") for c in df.columns])
+    ranked = cold.where("__n > 1").unionByName(hot).withColumn("__rank", F.row_number().over(w)).where("__rank = 1")
+    broken = keyed.where(F.greatest(*[F.col(n).isNull().cast("int") for n in (names * 2)]) == 1)
+    whole = [F.col(f"`{c}`") for c in df.columns]
+    return cold.where("__n = 1").select(*whole).unionByName(ranked.select(*whole)).unionByName(broken.select(*whole))
 
 
 def repeats(df: DataFrame, keys: dict[str, Column], order: str) -> DataFrame:
-    """(first, repeat): order value of each repeated delivery beside that of the message's first."""
+    """(first, repeat): order value of each delivery ranked after the first of its message, beside that first one.
+
+    Deliveries that share the first one's order value are no repeats of it; nor is one without an order value.
+    """
     keyed, names = _keyed(df, keys)
-    rows = _with_first(keyed.select(order, *names), names, order)
+    cold, hot = _tagged(keyed.select(order, *names), names, order)
+    rows = cold.where("__n > 1").unionByName(hot)
     return rows.where(F.col(order) > F.col("__first")).select(F.col("__first").alias("first"), F.col(order).alias("repeat"))
 
 
