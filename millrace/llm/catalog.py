@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import packing, split
+from millrace.llm import packing, secrets, split
 from millrace.tables import load
 
 
@@ -18,6 +18,16 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(load(spark, sf_dir, "chunks"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on which a usable credential begins."""
+    return secrets.scan(load(spark, sf_dir, "hits")).select("hit_id", "line_no").distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hit with its credentials masked and the rest of its text unchanged."""
+    return secrets.redact(load(spark, sf_dir, "hits"))
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container of every document, or of every piece of one that exceeds a container."""
     return packing.pack_texts(load(spark, sf_dir, "documents"))
@@ -32,5 +42,5 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
                   (1 - F.sum("tokens") / (F.count(F.lit(1)) * c)).alias("unused"), F.ceil(F.sum("tokens") / c).alias("least_containers"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_packed": p6_packed, "p6_fill": p6_fill}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_redacted": p2_redacted, "p6_packed": p6_packed, "p6_fill": p6_fill}
 ORACLES = {"p1_found": "SELECT DISTINCT id FROM chunks WHERE length(text) > 1200"}
