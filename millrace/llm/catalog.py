@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import mojibake, packing, secrets, split
+from millrace.llm import leakage, mojibake, packing, secrets, split
 from millrace.tables import load
 
 
@@ -42,6 +42,11 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
                   (1 - F.sum("tokens") / (F.count(F.lit(1)) * c)).alias("unused"), F.ceil(F.sum("tokens") / c).alias("least_containers"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of evaluation items, with the items."""
+    return leakage.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")).distinct()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents some of whose text was decoded with a wrong encoding."""
     return mojibake.restore(load(spark, sf_dir, "documents"), with_text=False).select("doc_id").distinct()
@@ -53,5 +58,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_redacted": p2_redacted, "p6_packed": p6_packed, "p6_fill": p6_fill,
-           "p8_found": p8_found, "p8_restored": p8_restored}
+           "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLES = {"p1_found": "SELECT DISTINCT id FROM chunks WHERE length(text) > 1200"}
