@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import leakage, mojibake, packing, secrets, split
+from millrace.llm import leakage, mojibake, packing, secrets, sourcefiles, split
 from millrace.tables import load
 
 
@@ -28,6 +28,18 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.redact(load(spark, sf_dir, "hits"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in hits that no person wrote."""
+    files = sourcefiles.judged_files(load(spark, sf_dir, "hits"), load(spark, sf_dir, "chunks"))
+    return files.where(F.col("kind").isNotNull()).select("path_key")
+
+
+def p4_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of files in hits without those that no person wrote."""
+    files = sourcefiles.judged_files(load(spark, sf_dir, "hits"), load(spark, sf_dir, "chunks"))
+    return files.where(F.col("kind").isNull()).select("path_key", "lines")
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container of every document, or of every piece of one that exceeds a container."""
     return packing.pack_texts(load(spark, sf_dir, "documents"))
@@ -57,6 +69,6 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_redacted": p2_redacted, "p6_packed": p6_packed, "p6_fill": p6_fill,
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_redacted": p2_redacted, "p4_found": p4_found, "p4_written": p4_written, "p6_packed": p6_packed, "p6_fill": p6_fill,
            "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLES = {"p1_found": "SELECT DISTINCT id FROM chunks WHERE length(text) > 1200"}
