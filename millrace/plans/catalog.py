@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import problems
+from millrace.plans import problems, relational
 
-MODULES = (problems,)
+MODULES = (problems, relational)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
