@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import problems, relational
+from millrace.plans import problems, relational, search
 
-MODULES = (problems, relational)
+MODULES = (problems, search, relational)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
-flagship = problems.p5_found
+flagship = search.context_budget

@@ -119,7 +119,7 @@ def agg_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
 def agg_pivot(spark: SparkSession, d: str) -> DataFrame:
-    t = load(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*"))
+    t = load(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0)
     return t.toDF("o_orderpriority", "f", "o", "p")
 
 
