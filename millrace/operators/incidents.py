@@ -114,10 +114,11 @@ def normalize(raw: DataFrame, path_map: DataFrame, root: str = "/srv/rights/REPO
 # --- folding ---------------------------------------------------------------------------------------------------------
 
 def fold(deliveries: DataFrame, key: Column, order: str = "delivery_id") -> DataFrame:
-    """One row a fingerprint: first and last detection, times seen, what was said last. Partial sums only."""
+    """One row a fingerprint: first and last detection, times seen, the last message and host that are given. Partial sums only."""
+    last = lambda c: F.max_by(c, F.when(text_or(c) != "", F.col(order)))
     return (deliveries.withColumn("__key", key).where(F.col("__key").isNotNull()).groupBy(F.col("__key").alias("fingerprint"))
             .agg(F.count(F.lit(1)).alias("seen_count"), F.min("detected_at").alias("first_detected_at"), F.max("detected_at").alias("last_detected_at"),
-                 F.max_by("message", order).alias("message"), F.max_by("host", order).alias("host")))
+                 last("message").alias("message"), last("host").alias("host")))
 
 
 def decide(state: Column, seen: Column, detected: Column, notified: Column, new_detected: Column | None, now: Column,

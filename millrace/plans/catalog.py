@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import problems, relational, search
+from millrace.plans import corpus, events, problems, relational, search
 
-MODULES = (problems, search, relational)
+MODULES = (problems, search, corpus, events, relational)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 

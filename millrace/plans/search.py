@@ -81,7 +81,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return S.bm25_topk(corpus(spark, d), load(spark, d, "eval_items")).select("query_id", "collection", "id", "score", "rank")
 
 
-_RANKS = f"""WITH h AS (SELECT query_id, collection, {_KEY} AS path_key, chunk, min(pos * 1000000000 + hit_id) AS p, min(coalesce(distance, 1.0)) AS d FROM hits GROUP BY 1, 2, 3, 4),
+_RANKS = f"""WITH h AS (SELECT query_id, collection, {_KEY} AS path_key, chunk, min(pos::BIGINT * 1000000000 + hit_id) AS p, min(coalesce(distance, 1.0)) AS d FROM hits GROUP BY 1, 2, 3, 4),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, p) - 1 AS rv, row_number() OVER (PARTITION BY query_id ORDER BY p) - 1 AS rl FROM h)
 """
 
