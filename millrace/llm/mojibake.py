@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,12 @@ def _bigrams(s: str) -> np.ndarray:
     return np.unique(((b[:-1] * 257 + b[1:]) * 40503 >> 2) & (BUCKETS - 1))
 
 
+@lru_cache(1 << 16)
+def decodes(run: str) -> bool:
+    """Whether a run has lost a character, or decodes strictly as UTF-8 that a common encoding was taken for."""
+    return "�" in run or any(_undo_runs(run, w)[1] for w in ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp1250"))
+
+
 class Model:
     """Softmax weights of hashed byte bigrams by chain, features scaled to unit length."""
 
