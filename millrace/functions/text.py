@@ -219,11 +219,13 @@ def bulk_append(c: Column | str, needle: str, append: str, marker: str) -> Colum
 
 
 def replace_lines(c: Column | str, old: str) -> Column:
-    """Line numbers of every occurrence that a bulk replace changes."""
+    """Line numbers of every occurrence that a bulk replace changes; one that spans lines counts where it begins."""
+    if "\n" not in old:
+        found = F.transform(F.split(_col(c), "\n", -1), lambda x, i: F.array_repeat(i + 1, occurrences(x, F.lit(old))))
+        return F.flatten(found)
     parts = F.split(_col(c), quoted(old), -1)
     feeds = F.transform(parts, lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
-    inside = old.count("\n")
-    found = F.transform(F.slice(feeds, 1, F.size(feeds) - 1), lambda x, i: F.aggregate(F.slice(feeds, 1, i + 1), F.lit(1), lambda a, y: a + y) + i * inside)
+    found = F.transform(F.slice(feeds, 1, F.size(feeds) - 1), lambda x, i: F.aggregate(F.slice(feeds, 1, i + 1), F.lit(1), lambda a, y: a + y) + i * old.count("\n"))
     return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<int>"))
 
 

@@ -1,7 +1,7 @@
 """Failure events as a stream: each fingerprint's count and state kept, what is to be told written to an outbox.
 
 The stateful step applies the same decision as the batch operators, event by event in arrival order within a
-fingerprint; its state is one small row a key and times out when a fingerprint falls silent. The outbox is written by
+fingerprint; its state is one small row a key and may time out when a fingerprint falls silent. The outbox is written by
 foreachBatch under the batch's id, so a batch that is replayed replaces its own rows and tells nobody twice.
 """
 
@@ -38,7 +38,7 @@ def reason(state: str | None, seen: int, detected: int | None, notified: int | N
 TOLD = frozenset(("new", "reopened", "escalated_retry", "renotify_count", "renotify_age"))
 
 
-def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, confirm: bool = False, timeout_ms: int = 7 * 86_400_000) -> Iterator[pd.DataFrame]:
+def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, confirm: bool = False, timeout_ms: int | None = None) -> Iterator[pd.DataFrame]:
     """Folds one key's new events into its state. confirm: a told event counts as delivered at once."""
     if state.hasTimedOut:
         state.remove()
@@ -57,15 +57,19 @@ def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, confirm:
             s, notified = "NOTIFIED", int(e.now)
         out.append((key[0], int(e.delivery_id), seen, why, why in TOLD))
     state.update((s, seen, detected, notified))
-    state.setTimeoutDuration(timeout_ms)
+    if timeout_ms:
+        state.setTimeoutDuration(timeout_ms)
     yield pd.DataFrame(out, columns=["fingerprint", "delivery_id", "seen_count", "reason", "told"])
 
 
-def decisions(events: DataFrame, confirm: bool = False) -> DataFrame:
-    """events: fingerprint, delivery_id, detected_at, received_at. One row an event with its decision."""
+def decisions(events: DataFrame, confirm: bool = False, timeout_ms: int | None = None) -> DataFrame:
+    """events: fingerprint, delivery_id, detected_at, received_at. One row an event with its decision.
+
+    timeout_ms drops the state of fingerprints silent for so long; it keeps a query running, so not with availableNow.
+    """
     e = events.where("fingerprint IS NOT NULL").select("fingerprint", "delivery_id", F.unix_seconds(F.col("detected_at").cast("timestamp")).alias("detected"),
                                                        F.coalesce(F.unix_seconds(F.col("received_at").cast("timestamp")), F.lit(0)).alias("now"))
-    return e.groupBy("fingerprint").applyInPandasWithState(lambda k, f, s: step(k, f, s, confirm), OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return e.groupBy("fingerprint").applyInPandasWithState(lambda k, f, s: step(k, f, s, confirm, timeout_ms), OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def outbox(path: str) -> Callable[[DataFrame, int], None]:
