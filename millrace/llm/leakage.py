@@ -41,7 +41,7 @@ BLOCK_WORDS = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 ESCAPES = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([nrtbf])|\\(.)", re.S)
-MARKUP = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,300}>|\]\([^()\s]*\)|[|]|(?<=[^\W\d_])[—/](?=[^\W\d_])", re.S)
+MARKUP = re.compile(r"<!--.{0,2000}?-->|</?[A-Za-z][^<>]{0,300}>|\]\([^()\s]*\)|[|]|(?<=[^\W\d_])[—/](?=[^\W\d_])", re.S)
 HYPHENED = re.compile(r"[-‐‑\xad]\s*\n\s*(?=[^\W\d_])")
 CJK = re.compile(r"([぀-ヿ㐀-䶿一-鿿가-힯])")
 JUNK = re.compile(r"[^\w\s]+|_+")

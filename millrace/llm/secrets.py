@@ -127,7 +127,7 @@ def usable(value: str, quoted: bool, code: bool = False) -> bool:
         return False
     if not quoted and (CALL.match(v) or IDENT.match(v) and not re.search(r"\d", v)):
         return False
-    if re.match(r"(?i)^(?:https?|ftp|file|s3|gs)://|^[A-Za-z]:\\|^(?:~|\.{0,2})/(?:[a-z0-9_.\-]+/?)*$", v) or re.match(r"^[a-z0-9_\-]+(?:/[a-z0-9_\-]+)+$", v) and not re.search(r"\d{2}", v):
+    if re.match(r"(?:https?|ftp|file|s3|gs)://|[A-Za-z]:\\|(?:~|\.{0,2})/(?:[a-z0-9_.\-]+/?)*$|(?:~|\.{0,2})/.*\.[a-z]{2,5}$", v) or re.match(r"^[a-z0-9_\-]+(?:/[a-z0-9_\-]+)+$", v) and not re.search(r"\d{2}", v):
         return False
     if re.match(r"^sha(?:1|256|384|512)[-:]", v):
         return False
