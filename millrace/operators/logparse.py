@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -34,7 +34,6 @@ LEVEL_KEYS = ("level", "lvl", "severity", "log.level", "loglevel", "levelname",
 COMPONENT_KEYS = ("logger", "name", "component", "service", "app", "module", "subsystem", "program", "source", "logger_name", "log.logger")
 MESSAGE_KEYS = ("msg", "message", "text", "event")
 
-UTC = timezone.utc
 EPOCH = datetime(1970, 1, 1)
 NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-/$")
 
@@ -47,7 +46,7 @@ def level_of(word: str, short: bool = False) -> str:
 def _num(s: str, i: int, n: int) -> int:
     """n decimal digits at i, or -1."""
     d = s[i:i + n]
-    return int(d) if len(d) == n and d.isascii() and d.isdigit() else -1
+    return int(d) if len(d) == n and d.isascii() and d.isdecimal() else -1
 
 
 def _clock(s: str, i: int) -> tuple[int, int, int, int] | None:
@@ -56,12 +55,12 @@ def _clock(s: str, i: int) -> tuple[int, int, int, int] | None:
     if not (0 <= h < 24 and 0 <= m < 60 and 0 <= x <= 60) or s[i + 2:i + 3] != ":" or s[i + 5:i + 6] != ":":
         return None
     j, micros = i + 8, 0
-    if s[j:j + 1] in (".", ",") and s[j + 1:j + 2].isdigit():
+    if s[j:j + 1] in (".", ",") and s[j + 1:j + 2].isdecimal():
         k = j + 1
-        while k < len(s) and s[k].isdigit():
+        while k < len(s) and s[k].isdecimal():
             k += 1
         micros, j = int(s[j + 1:k][:6].ljust(6, "0")), k
-    elif s[j:j + 1].isdigit():
+    elif s[j:j + 1].isdecimal():
         return None
     return j, h * 3600 + m * 60 + min(x, 59), micros, 0
 
@@ -80,7 +79,7 @@ def _zone(s: str, j: int) -> tuple[int, int]:
         m = _num(s, i, 2)
         if 0 <= h <= 14 and 0 <= m < 60:
             return i + 2, (h * 60 + m) * (1 if c == "+" else -1)
-        if 0 <= h <= 14 and not s[k + 3:k + 4].isdigit():
+        if 0 <= h <= 14 and not s[k + 3:k + 4].isdecimal():
             return k + 3, h * 60 * (1 if c == "+" else -1)
     return j, 0
 
@@ -112,14 +111,14 @@ def iso(s: str, i: int) -> tuple[int, str] | None:
 def epoch(s: str, i: int) -> tuple[int, str] | None:
     """States of seconds (10 digits, optional fraction) or milliseconds (13 digits) since 1970."""
     j = i
-    while j < len(s) and j - i < 20 and s[j].isdigit():
+    while j < len(s) and j - i < 20 and s[j].isdecimal():
         j += 1
     if j - i not in (10, 13, 16, 19) or s[i] not in "12":
         return None
     sec = int(s[i:i + 10])
-    if s[j:j + 1] == "." and s[j + 1:j + 2].isdigit():
+    if s[j:j + 1] == "." and s[j + 1:j + 2].isdecimal():
         j += 1
-        while j < len(s) and s[j].isdigit():
+        while j < len(s) and s[j].isdecimal():
             j += 1
     return j, str(EPOCH + timedelta(seconds=sec))
 
@@ -177,10 +176,10 @@ def _bracket(s: str, i: int) -> tuple[int, str] | None:
 def _source(s: str, i: int) -> tuple[int, str] | None:
     """file.ext:line at i: (end, file)."""
     e, n = _name(s, i)
-    if "." not in n or s[e:e + 1] != ":" or not s[e + 1:e + 2].isdigit():
+    if "." not in n or s[e:e + 1] != ":" or not s[e + 1:e + 2].isdecimal():
         return None
     j = e + 1
-    while j < len(s) and s[j].isdigit():
+    while j < len(s) and s[j].isdecimal():
         j += 1
     return j, n
 
@@ -188,7 +187,7 @@ def _source(s: str, i: int) -> tuple[int, str] | None:
 def _is_code(x: str) -> bool:
     """Process id, thread, error code, host port: brackets that name no component."""
     low = x.lower()
-    return not x or x[0].isdigit() or low.startswith(("pid", "tid", "thread", "worker", "pool-", "main", "client ", "my-", "exec-")) or " " in x or (x.rpartition("-")[2].isdigit() and x.rpartition("-")[0].isupper())
+    return not x or x[0].isdecimal() or low.startswith(("pid", "tid", "thread", "worker", "pool-", "main", "client ", "my-", "exec-")) or " " in x or (x.rpartition("-")[2].isdecimal() and x.rpartition("-")[0].isupper())
 
 
 def _after_date(s: str, i: int, loose: bool) -> tuple[str, str, int]:
@@ -206,9 +205,9 @@ def _after_date(s: str, i: int, loose: bool) -> tuple[str, str, int]:
             k = s.find(" - ", e, e + 120)
             return lv, n, k + 3 if k >= 0 else e
         return "", "", i
-    if c.isdigit():  # a thread id before brackets
+    if c.isdecimal():  # a thread id before brackets
         j = i
-        while j < len(s) and s[j].isdigit():
+        while j < len(s) and s[j].isdecimal():
             j += 1
         if s[j:j + 2] == " [":
             i, c = j + 1, "["
@@ -284,7 +283,7 @@ def _object(s: str) -> dict:
     try:
         x = json.loads(s)
         return x if isinstance(x, dict) else {}
-    except ValueError:
+    except (ValueError, RecursionError):
         pass
     out: dict = {}
     dec, i = json.JSONDecoder(), 1
@@ -296,7 +295,7 @@ def _object(s: str) -> dict:
             while i < len(s) and s[i] in " :\t":
                 i += 1
             out[key], i = dec.raw_decode(s, i)
-        except (ValueError, TypeError):
+        except (ValueError, TypeError, RecursionError):
             break
     return out if all(isinstance(k, str) for k in out) else {}
 
@@ -387,7 +386,7 @@ def header(s: str, ref: datetime | None) -> tuple[str, str, str, str] | None:
             lv, comp, m = _after_date(s, e, False)
             return _latest(k[1], k[2], ref), lv, comp, s[m:].lstrip()
         return None
-    if c.isdigit():
+    if c.isdecimal():
         if t := iso(s, 0):
             lv, comp, m = _after_date(s, t[0], False)
             return t[1], lv, comp, s[m:].lstrip()
@@ -399,12 +398,12 @@ def header(s: str, ref: datetime | None) -> tuple[str, str, str, str] | None:
             lv, comp, m = _after_date(s, k[0], False)
             return _latest(k[1], k[2], ref), lv, comp, s[m:].lstrip()
         return None
-    if c in "DIWEFCN" and s[1:2].isdigit():  # Lmmdd time pid file:line] message
+    if c in "DIWEFCN" and s[1:2].isdecimal():  # Lmmdd time pid file:line] message
         mo, d = _num(s, 1, 2), _num(s, 3, 2)
         k = _clock(s, 6) if s[5:6] == " " else None
         if k and 1 <= mo <= 12 and 1 <= d <= 31:
             i = _skip(s, k[0])
-            while i < len(s) and s[i].isdigit():
+            while i < len(s) and s[i].isdecimal():
                 i += 1
             i = _skip(s, i)
             comp = ""
@@ -462,7 +461,7 @@ def entries(text: str | None, ref: datetime | None, with_message: bool = True) -
         if h is not None or n == 1:
             if with_message and out:
                 out[-1][4] = "\n".join(body)
-            ts, lv, comp, msg = h or ("", "", "", line)
+            ts, lv, comp, msg = h or ("", "", "", line[:-1] if line[-1:] == "\r" else line)
             out.append([n, ts, lv, comp, ""])
             body = [msg]
         elif with_message:
