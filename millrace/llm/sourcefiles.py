@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 WRAP = 120
 #: Extensions whose text is documents or prose.
 PROSE = ("md", "rst", "adoc", "markdown")
+PLAIN = ("yaml", "yml", "env", "example", "ini", "cfg", "conf", "toml", "properties", "txt", "csv", "tsv")  # never minified, whatever its lines
 CONFIG = ("yaml", "yml", "env", "example", "ini", "cfg", "conf", "toml", "properties", "json", "xml", "txt", "csv", "tsv", "html")
 
 TOKEN = re.compile(
@@ -138,11 +139,11 @@ def judge(files: DataFrame) -> DataFrame:
     code = F.greatest(F.col("code_lines"), F.lit(1))
     java = lambda p: p.pattern
     vendored = F.col("path_key").rlike(java(PACKAGE_DIR)) | F.col("path_key").rlike(java(PACKAGE_TOP)) | (~prose & (F.col("path_key").rlike(java(VERSIONED)) | (F.col("licence") == 1)))
-    minified = ~prose & ((F.col("canonical") / lines >= 6) & (F.col("chars") / lines >= 150))
+    minified = ~prose & ~ext.isin(*PLAIN) & ((F.col("canonical") / lines >= 6) & (F.col("chars") / lines >= 150))
     generated = F.col("path_key").rlike(java(MADE_NAME)) | F.col("path_key").rlike(java(MADE_DIR)) | (
         ~prose & ((F.col("banner") == 1) | ((F.col("serial_lines") / code >= 0.5) & (F.col("serial_lines") >= 5))))
     body = F.greatest(F.col("chars") - F.col("comment_chars"), F.lit(1))
-    bare = (F.col("names") / code < 1) & (F.col("chars") >= 300)
+    bare = (F.col("names") / code < 0.4) & (F.col("chars") >= 300)
     numbers, literals = F.col("number_chars") / body >= 0.5, (F.col("number_chars") + F.col("string_chars")) / body >= 0.58
     data = ~prose & F.when(config, bare & numbers).otherwise(bare & literals | (F.col("blob_chars") / F.greatest(F.col("chars"), F.lit(1)) >= 0.5))
     return files.withColumn("kind", F.when(vendored, "vendored").when(minified & ~data, "minified").when(generated, "generated").when(data, "data"))
