@@ -232,3 +232,64 @@ def replace_lines(c: Column | str, old: str) -> Column:
 def occurrences(c: Column | str, old: Column) -> Column:
     c = _col(c)
     return F.when(F.length(old) > 0, ((F.length(c) - F.length(F.replace(c, old, F.lit("")))) / F.length(old)).cast("int")).otherwise(0)
+
+
+# --- reading prose about code ------------------------------------------------------------------------------------------
+
+# File names in prose, headers of retrieved passages, line mentions, identifiers and words that are none.
+PROSE_PATH = r"(?i)(?:^|[\s`'\"(])([\w./-]+\.(?:py|sh|php|html|htm|css|sql|yaml|yml|json|md|txt|js|ts))(?:[\s`'\",):]|$)"
+PASSAGE_HEADER = r"(?md)^###\s+\[[^\]]+\]\s+(?:[\w-]+/)?(.+?)\s+\(chunk"
+LINE_MENTION = r"(?i)line\s+(\d+)"
+IDENTIFIER = r"(?i)\b([a-z_][a-z0-9_]{2,})\b"
+NO_TABLES = ("select", "from", "where", "update", "insert", "delete", "table", "schema", "database", "mysql", "the", "and", "for", "with", "into", "join", "left", "right", "inner", "outer", "group", "order", "limit", "fix", "error", "file", "line",
+             "python", "script")
+DATABASE_WORDS = ("sql", "schema", "mysql", "table", "column", "database", "writer", "work", "ipi")
+DRIFT_WORDS = ("config", "env", "readme", "mismatch", "inconsistent")
+
+
+def relative_path(path: Column, repo: Column) -> Column:
+    """A path as written in prose made relative to its repository; null if it is absolute, an address or climbs out."""
+    p = F.regexp_replace(F.trim(path), "^[`\"']+|[`\"']+$", "")
+    p = F.when(F.lower(F.substring(p, 1, 6)) == "repos/", F.substring(p, F.lit(7), F.length(p))).otherwise(p)
+    inside = F.when((F.coalesce(repo, F.lit("")) != "") & p.startswith(F.concat(repo, F.lit("/"))), F.substring(p, F.length(repo) + 2, F.length(p))).otherwise(p)
+    return F.when((p != "") & ~p.startswith("http") & ~inside.startswith("/") & ~F.array_contains(F.split(inside, "/"), "..") & (inside != ""), inside)
+
+
+def discover_paths(changed: Column, plan: Column, request: Column, passages: Column, repo: Column) -> Column:
+    """Paths named by a change list, a plan, a request and retrieved passages, each once, in that order."""
+    found = lambda c, pattern: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(1))
+    every = F.concat(F.coalesce(changed, F.array().cast("array<string>")), found(plan, PROSE_PATH), found(request, PROSE_PATH), found(passages, PASSAGE_HEADER))
+    return F.array_distinct(F.filter(F.transform(every, lambda p: relative_path(p, repo)), lambda p: p.isNotNull()))
+
+
+def line_mention(path: Column, *texts: Column) -> Column:
+    """The first line number in the first text that names the path."""
+    return F.coalesce(*[F.when(t.contains(path), F.regexp_extract(t, LINE_MENTION, 1).try_cast("int")) for t in texts])
+
+
+def table_candidates(c: Column | str, most: int = 5) -> Column:
+    """Identifiers that may be tables, lower case, first-seen order."""
+    names = F.transform(F.regexp_extract_all(_col(c), F.lit(IDENTIFIER), F.lit(1)), lambda x: F.lower(x))
+    return F.slice(F.array_except(F.array_distinct(names), F.array(*map(F.lit, NO_TABLES))), 1, most)
+
+
+def needs_schema(c: Column | str) -> Column:
+    """Whether a request speaks of a database."""
+    low = F.lower(_col(c))
+    return F.exists(F.array(*map(F.lit, DATABASE_WORDS)), lambda w: low.contains(w))
+
+
+def speaks_of_drift(c: Column | str) -> Column:
+    low = F.lower(_col(c))
+    return F.exists(F.array(*map(F.lit, DRIFT_WORDS)), lambda w: low.contains(w))
+
+
+def diff_counts(c: Column | str) -> Column:
+    """struct<insertions, deletions> out of a summary of a diff."""
+    n = lambda w: F.coalesce(F.regexp_extract(_col(c), rf"(\d+) {w}", 1).try_cast("int"), F.lit(0))
+    return F.struct(n("insertion").alias("insertions"), n("deletion").alias("deletions"))
+
+
+def has_conflict(c: Column | str) -> Column:
+    c = _col(c)
+    return c.contains("<<<<<<<") | c.contains("=======") & c.contains(">>>>>>>")

@@ -144,3 +144,18 @@ def fill(template: Column, **values: Column) -> Column:
     for k, v in values.items():
         template = F.replace(template, F.lit("{" + k + "}"), F.coalesce(v.cast("string"), F.lit("None")))
     return template
+
+
+def anomaly_fingerprint(check_id: Column, metric: Column, reason: Column | None = None) -> Column:
+    """One anomaly's identity: its check and its reason, or the metric to four digits where no reason is given."""
+    sign = F.format_string("%.4f", metric) if reason is None else F.when(F.coalesce(reason, F.lit("")) != "", F.substring(reason, 1, 120)).otherwise(F.format_string("%.4f", metric))
+    return F.sha2(F.concat(F.lit("watchdog|"), check_id, F.lit("|"), sign), 256)
+
+
+def anomalies(results: DataFrame, known: DataFrame) -> DataFrame:
+    """Failed checks as anomalies: fingerprint, times seen so far, and whether it is new. known: fingerprint, state, seen_count."""
+    failed = results.where(~F.col("passed")).withColumn("fingerprint", anomaly_fingerprint(F.col("check_id"), F.coalesce("metric_value", F.lit(0.0)), F.coalesce("reason", "error")))
+    k = known.select("fingerprint", F.col("state").alias("__state"), F.col("seen_count").alias("__seen"))
+    j = failed.join(k, "fingerprint", "left")
+    fresh = F.col("__state").isNull() | F.col("__state").isin("ANOMALY_RESOLVED", "RESOLVED")
+    return j.select("fingerprint", "check_id", "severity", "metric_value", "reason", F.when(fresh, 1).otherwise(F.col("__seen") + 1).alias("seen_count"), fresh.alias("new"))

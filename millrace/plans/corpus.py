@@ -200,3 +200,17 @@ def audit_scan(spark: SparkSession, d: str) -> DataFrame:
     """Lines of indexed pieces that break a publication rule."""
     f = load(spark, d, "chunks").select("id", "path", "text").distinct()
     return E.audit(f.select(F.concat("id", F.lit("/"), "path").alias("path"), F.col("text").alias("content")))
+
+
+@query(f"""SELECT item_id, text IS NOT NULL AS any_name,
+{" OR ".join(f"contains(lower(text), '{w}')" for w in T.DATABASE_WORDS)} AS needs_schema, {" OR ".join(f"contains(lower(text), '{w}')" for w in T.DRIFT_WORDS)} AS drift FROM eval_items""")
+def prose_flags(spark: SparkSession, d: str) -> DataFrame:
+    """What each evaluation text speaks of."""
+    return load(spark, d, "eval_items").select("item_id", T.table_candidates("text").isNotNull().alias("any_name"), T.needs_schema("text").alias("needs_schema"), T.speaks_of_drift("text").alias("drift"))
+
+
+@query()
+def prose_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths each document names, relative to its repository, with the line it mentions and its table candidates. Tested on literals."""
+    x = load(spark, d, "documents").select("doc_id", "repo", "text", T.discover_paths(F.lit(None).cast("array<string>"), F.col("text"), F.lit(""), F.col("text"), F.col("repo")).alias("paths"))
+    return x.select("doc_id", "paths", T.line_mention(F.coalesce(F.try_element_at("paths", F.lit(1)), F.lit("")), F.col("text")).alias("line"), T.table_candidates("text").alias("tables"), T.has_conflict("text").alias("conflict"))

@@ -116,3 +116,9 @@ def test_drift_and_audit(spark):
     assert [r.ref for r in C.env_not_in_example(readme, ex).collect()] == ["APP_TOKEN_X"]
     f = spark.createDataFrame([("a.py", "ok\ncall +15551239999\n/Users/YOU/x\n/Users/bob"), ("b.bin", "/Users/bob"), ("c.txt", "")], "path string, content string")
     assert {(r.path, r.line, r.rule) for r in E.audit(f).collect()} == {("a.py", 2, "phone_number"), ("a.py", 4, "home_path")}
+
+
+def test_anomalies(spark):
+    r = spark.createDataFrame([("a", False, 3.0, "count 3.0 > max 0.0", None, "w"), ("b", True, 1.0, "x", None, "w"), ("c", False, None, None, "boom", "w")], "check_id string, passed boolean, metric_value double, reason string, error string, severity string")
+    known = spark.range(1).select(K.anomaly_fingerprint(F.lit("a"), F.lit(3.0), F.lit("count 3.0 > max 0.0")).alias("fingerprint"), F.lit("ANOMALY_OPEN").alias("state"), F.lit(4).alias("seen_count"))
+    assert {x.check_id: (x.seen_count, x.new) for x in K.anomalies(r, known).collect()} == {"a": (5, False), "c": (1, True)}

@@ -113,3 +113,16 @@ def test_small_functions(spark):
     assert run(spark, ["see `a/b.py` and ./run.sh, http://x.py `a/b.py`"], T.path_refs("t"))[0][:2] == ["a/b.py", "run.sh"]
     assert run(spark, ["1,234 rows", "none", "-5.5%"], T.number_of("t")) == [1234.0, None, -5.5]
     assert run(spark, ["A\u00a0b  C\n"], T.tokens("t")) == [["a", "b", "c"]]
+
+
+def test_prose(spark):
+    def one(c):
+        return spark.range(1).select(c).first()[0]
+    lit = F.lit
+    got = one(T.discover_paths(F.array(lit("R/a/x.py"), lit("../no.py"), lit("/abs.py")), lit("edit `REPOS/R/b.sh`, see (c.sql)."), lit("http://h/d.py and x.md"), lit("### [repos] R/e.py (chunk 3)\ntext"), lit("R")))
+    assert got == ["a/x.py", "b.sh", "c.sql", "x.md", "e.py"]
+    assert one(T.line_mention(lit("a.py"), lit("none"), lit("a.py at Line 42, line 7"))) == 42 and one(T.line_mention(lit("a.py"), lit("a.py here"))) is None
+    assert one(T.table_candidates(lit("Select the Orders from orders JOIN line_items on x"))) == ["orders", "line_items"]
+    assert tuple(one(T.diff_counts(lit("3 files changed, 10 insertions(+), 2 deletions(-)")))) == (10, 2) and tuple(one(T.diff_counts(lit("")))) == (0, 0)
+    assert one(T.has_conflict(lit("a\n=======\nb\n>>>>>>> x"))) and not one(T.has_conflict(lit("a ======= b")))
+    assert one(T.needs_schema(lit("which Column?"))) and not one(T.speaks_of_drift(lit("nothing")))
