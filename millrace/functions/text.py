@@ -143,7 +143,7 @@ def path_refs(c: Column | str) -> Column:
 
 
 def env_keys(c: Column | str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(_col(c), F.lit(ENV_KEY), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(_col(c), F.lit(f"(?U){ENV_KEY}"), F.lit(1)))
 
 
 def slug(c: Column | str, most: int = 50) -> Column:

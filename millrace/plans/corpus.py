@@ -20,6 +20,11 @@ def query(sql: str | None = None):
     return add
 
 
+#: Environment keys as SQL: word boundaries in the sense of Unicode, each separator doubled so that neighbours share none.
+_W = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+_KEYS = rf"list_distinct(regexp_extract_all(' ' || regexp_replace(text, '([^{_W}])', '\1\1', 'g') || ' ', '[^{_W}]([A-Z][A-Z0-9_]{{2,}})[^{_W}]', 1))"
+
+
 def _redacted(c: str) -> str:
     """The redaction rules as SQL; the look-ahead becomes a mark put before placeholders and taken out again."""
     out = c
@@ -89,14 +94,14 @@ def chunk_sql(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", "chunk", F.length("c.text").alias("length"), F.md5(F.col("c.text")).alias("piece"))
 
 
-@query(r"SELECT doc_id, len(w) AS n_tokens, list_aggregate(list_distinct(w), 'count') AS n_distinct FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}]+'), lambda x: x <> '') AS w FROM documents)")
+@query(r"SELECT doc_id, len(w) AS n_tokens, list_aggregate(list_distinct(w), 'count') AS n_distinct FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\x0B\x{85}\p{Z}]+'), lambda x: x <> '') AS w FROM documents)")
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
     t = T.tokens("text")
     return load(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
 @query(r"""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(substr(lower(text), 1, 50), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'task') AS slug,
-list_sort(list_distinct(regexp_extract_all(text, '\b([A-Z][A-Z0-9_]{2,})\b', 1))) AS env_keys, len(text) AS n FROM documents""")
+list_sort(""" + _KEYS + r""") AS env_keys, len(text) AS n FROM documents""")
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", T.slug("text").alias("slug"), F.array_sort(T.env_keys("text")).alias("env_keys"), F.length("text").cast("long").alias("n"))
 
@@ -144,7 +149,7 @@ def dedupe_exact(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH f AS (SELECT DISTINCT path, split_part(path, '/', -1) AS name, split_part(path, '/', 1) AS repo FROM chunks),
 r AS (SELECT repo, string_agg(text, chr(10) ORDER BY chunk, id) AS text FROM (SELECT DISTINCT split_part(path, '/', 1) AS repo, chunk, id, text FROM chunks WHERE kind IN ('readme', 'doc')) GROUP BY 1),
-k AS (SELECT repo, list_distinct(regexp_extract_all(text, '\b([A-Z][A-Z0-9_]{2,})\b', 1)) AS a FROM r)
+k AS (SELECT repo, """ + _KEYS + r""" AS a FROM r)
 SELECT repo, len(a) AS n_keys FROM k""")
 def drift_env_keys(spark: SparkSession, d: str) -> DataFrame:
     """How many environment keys each repository's documents mention."""

@@ -55,7 +55,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STATS = r"""WITH c AS (SELECT DISTINCT ON (id) * FROM chunks ORDER BY id),
-w AS (SELECT collection, id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM c),
+w AS (SELECT collection, id, list_filter(regexp_split_to_array(lower(text), '[\s\x0B\x{85}\p{Z}]+'), lambda x: x <> '') AS w FROM c),
 n AS (SELECT collection, count(*) AS n_docs, avg(len(w)) AS avgdl FROM w GROUP BY 1),
 f AS (SELECT collection, term, count(*) AS df FROM (SELECT collection, unnest(list_distinct(w)) AS term FROM w) GROUP BY 1, 2),
 raw AS (SELECT f.*, n_docs, avgdl, ln(n_docs - df + 0.5) - ln(df + 0.5) AS idf0 FROM f JOIN n USING (collection)),
@@ -69,7 +69,7 @@ def term_stats(spark: SparkSession, d: str) -> DataFrame:
     return S.corpus_stats(corpus(spark, d))[1].withColumn("idf", F.round("idf", 6))
 
 
-_SCORES = _STATS + r""", q AS (SELECT item_id, term, count(*) AS qn FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda x: x <> '')) AS term FROM eval_items) GROUP BY 1, 2),
+_SCORES = _STATS + r""", q AS (SELECT item_id, term, count(*) AS qn FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(query), '[\s\x0B\x{85}\p{Z}]+'), lambda x: x <> '')) AS term FROM eval_items) GROUP BY 1, 2),
 tf AS (SELECT collection, id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT collection, id, len(w) AS dl, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
 s AS (SELECT item_id AS query_id, tf.collection, id, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN t ON t.collection = tf.collection AND t.term = tf.term GROUP BY 1, 2, 3),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 24)
