@@ -477,14 +477,14 @@ def parse_logs(df: DataFrame, id_col: str = "delivery_id", fields: tuple[str, ..
 
     Each text is read where it lies: no shuffle, no state between rows, memory bounded by an Arrow batch.
     """
-    src = df.select(F.col(id_col).alias("id"), F.col(ref_col).cast("timestamp_ntz").alias("ref"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)])
+    src = df.select(F.col(id_col).alias("id"), F.unix_micros(F.col(ref_col).cast("timestamp")).alias("ref"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)])
     names = ["id", "field", "first_line", "ts", "level", "component"] + ["text"] * with_message
     kind = dict(df.dtypes)[id_col]
     schema = f"id {kind}, field string, first_line int, ts string, level string, component string" + ", text string" * with_message
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, refs = b.column(0), b.column(1).to_pylist()
+            ids, refs = b.column(0), [None if v is None else EPOCH + timedelta(microseconds=v) for v in b.column(1).to_pylist()]
             cols = [b.column(2 + i).to_pylist() for i in range(len(fields))]
             at: list[int] = []
             field: list[str] = []
