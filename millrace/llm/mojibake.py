@@ -211,7 +211,7 @@ class Model:
             return 0, s
         k, back = self.chain_of(bare)
         if not k:  # the runs that decode strictly, judged alone
-            runs = [m.group() for m in WINDOW.finditer(bare) if "�" in m.group() or any(_undo_runs(m.group(), w)[1] for w in ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp1250"))]
+            runs = [m.group() for m in WINDOW.finditer(bare) if any(map(decodes, RUN.findall(m.group())))]
             if runs and (alone := "\n".join(runs)) != bare:
                 k, back = self.chain_of(alone)
         if not k or back is None:
