@@ -45,6 +45,8 @@ MARKUP = re.compile(r"<!--.{0,2000}?-->|</?[A-Za-z][^<>]{0,300}>|\]\([^()\s]*\)|
 HYPHENED = re.compile(r"[-‐‑\xad]\s*\n\s*(?=[^\W\d_])")
 CJK = re.compile(r"([぀-ヿ㐀-䶿一-鿿가-힯])")
 JUNK = re.compile(r"[^\w\s]+|_+")
+MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]+")  # combining marks
+SPELLED = re.compile("[œæøłđðþı]")
 PLAIN = str.maketrans({"œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
 
 
@@ -65,7 +67,9 @@ def words(text: str | None) -> list[str]:
         text = html.unescape(text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text.casefold())
-        text = "".join(c for c in text if not unicodedata.combining(c)).translate(PLAIN)
+        text = MARKS.sub("", text)
+        if SPELLED.search(text):
+            text = text.translate(PLAIN)
         text = CJK.sub(r" \1 ", text)
     else:
         text = text.lower()
@@ -262,8 +266,11 @@ class Block:
             k, p = key[order], pos[order]
             if len(k) <= m:
                 continue
-            for x in np.flatnonzero((k[m:] == k[:-m]) & (p[m:] - p[:-m] <= LEAST + SLACK)):
-                near.setdefault(int(k[x] >> 40), {})[int(np.median(diagonal[order[x:x + m + 1]])) - (1 << 20)] = None
+            found = np.flatnonzero((k[m:] == k[:-m]) & (p[m:] - p[:-m] <= LEAST + SLACK))
+            if len(found):
+                middle = np.sort(diagonal[order[found[:, None] + np.arange(m + 1)]], 1)[:, m // 2] - (1 << 20)
+                for i, d in dict.fromkeys(zip((k[found] >> 40).tolist(), middle.tolist())):
+                    near.setdefault(i, {})[d] = None
         ids[ids == 0] = -1  # unknown words equal nothing
         return [self.ids[i] for i, ds in near.items() if len(self.items[i]) >= LEAST and any(leaked(self.items[i], self.rare[i], ids, d) for d in ds)]
 
