@@ -165,9 +165,6 @@ def topk_per_group(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice").withColumn("rn", F.row_number().over(w)).where("rn <= 3").drop("rn")
 
 
-_KEYS = {"union": "UNION", "union_all": "UNION ALL", "intersect": "INTERSECT", "except": "EXCEPT"}
-
-
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return load(spark, d, "customer").select(F.col("c_custkey").alias("k")), load(spark, d, "orders").select(F.col("o_custkey").alias("k"))
 
