@@ -16,7 +16,6 @@ configuration are no cases unless a banner or the layout says that a program wro
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
