@@ -57,9 +57,10 @@ def serial(lines: list[str]) -> int:
     """Lines of shapes that come three times or more with numbers counting up."""
     seen: dict[str, list] = {}
     for s in lines:
+        if not (n := DIGITS.search(s)):
+            continue  # nothing to count by
         shape = NAMES.sub("a", DIGITS.sub("9", s.strip()))
-        n = DIGITS.search(s)
-        n = int(n.group()) if n and n.end() - n.start() < 12 else None
+        n = int(n.group()) if n.end() - n.start() < 12 else None
         x = seen.setdefault(shape, [0, 0, None])
         x[0] += 1
         x[1] += n is not None and x[2] is not None and n == x[2] + 1
@@ -73,7 +74,8 @@ def measure(text: str, ext: str) -> tuple[int, ...]:
     names = strings = numbers = comment = canonical = width = 0
     head: list[str] = []
     for m in TOKEN.finditer(text):
-        kind, size = m.lastgroup, m.end() - m.start()
+        start, end = m.span()
+        kind, size = m.lastgroup, end - start
         if kind == "w":
             names += 1
             width += size + 1
@@ -94,7 +96,7 @@ def measure(text: str, ext: str) -> tuple[int, ...]:
             width += size + 1
         else:
             comment += size
-            if m.start() < 800:
+            if start < 800:
                 head.append(m.group())
     if width:
         canonical += 1 + width // WRAP
