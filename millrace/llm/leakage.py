@@ -7,8 +7,8 @@ the neighbouring diagonals. Those words and the stretch of the document around t
 non-overlapping matches are marked first, found by running Karp-Rabin hashes of falling length. The pair is a leak
 if the tiles, in whatever order they lie, cover nearly all of them, and an exact check finds no more than about one
 changed, dropped or added word in EIGHTH. Runs of COMMON_RUN words found in COMMON_ITEMS items or more, such as
-instructions, match nothing; and what differs in more than a tenth of its words must at least agree in half of the
-words that few items have, or it is only made from the same phrases.
+instructions, match nothing. What differs in more than a tenth of its words and in most of the words that few items
+have may only be made from the same phrases: it is refused if other items hold the stretch about equally well.
 
 The items are a stated set: they are packed into blocks of at most BLOCK_WORDS words, and each block is sent to the
 executors once and held against all documents; several blocks mean several passes, never a larger broadcast.
@@ -22,7 +22,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,7 @@ TILED = LEAST - EDITS - 2  # words of LEAST that tiles must cover; single words
 SLACK = 6  # words added or dropped within a passage
 SHORTEST_TILE = 2
 COMMON_RUN, COMMON_ITEMS, RARE_ITEMS = 11, 3, 2
+RIVAL = 9  # edits by which other items must be further from a stretch that lacks the words few items have; EDITS if there are none
 BLOCK_WORDS = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,6 +154,11 @@ def edits(item: np.ndarray, doc: np.ndarray) -> tuple[int, np.ndarray]:
 
     Also tells which item words are found in the best such stretch.
     """
+    return align(item, doc)[:2]
+
+
+def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """The result of `edits`, and the best stretch of the document."""
     n, m = len(item), len(doc)
     d = np.zeros((n + 1, m + 1), np.int64)
     d[:, 0] = np.arange(n + 1)
@@ -162,7 +168,7 @@ def edits(item: np.ndarray, doc: np.ndarray) -> tuple[int, np.ndarray]:
         row[0] = i
         row[1:] = np.minimum(d[i - 1, :-1] + (doc != item[i - 1]), d[i - 1, 1:] + 1)
         d[i] = np.minimum.accumulate(row - step) + step
-    j = int(d[n].argmin())
+    j = end = int(d[n].argmin())
     least, found, i = int(d[n, j]), np.zeros(n, bool), n
     while i and j:
         same = doc[j - 1] == item[i - 1]
@@ -173,7 +179,7 @@ def edits(item: np.ndarray, doc: np.ndarray) -> tuple[int, np.ndarray]:
             i -= 1
         else:
             j -= 1
-    return least, found
+    return least, found, doc[j:end]
 
 
 def extent(found: np.ndarray) -> int:
@@ -186,8 +192,11 @@ def extent(found: np.ndarray) -> int:
     return at[-1] - at[0] + 1 if at else 0
 
 
-def leaked(item: np.ndarray, rare: np.ndarray, doc: np.ndarray, diagonal: int) -> bool:
-    """Whether LEAST successive item words are in the document near a diagonal, up to one word in EIGHTH."""
+def leaked(item: np.ndarray, rare: np.ndarray, doc: np.ndarray, diagonal: int, rival: Callable[[np.ndarray, np.ndarray, int], bool]) -> bool:
+    """Whether LEAST successive item words are in the document near a diagonal, up to one word in EIGHTH.
+
+    rival(stretch, part, most): whether an item of another text than `part` is within `most` edits of the stretch.
+    """
     same = np.zeros(len(item), bool)
     for off in range(diagonal - SLACK, diagonal + SLACK + 1):
         a, b = max(0, -off), min(len(item), len(doc) - off)
@@ -204,11 +213,11 @@ def leaked(item: np.ndarray, rare: np.ndarray, doc: np.ndarray, diagonal: int) -
         part, near = item[a:a + LEAST], doc[max(0, a + diagonal - SLACK):a + LEAST + diagonal + SLACK]
         if covered(part.tolist(), near.tolist()) < TILED:
             continue
-        least, found = edits(part, near)
+        least, found, stretch = align(part, near)
         if least > EDITS or extent(found) < LEAST - 1:
             continue
         few = rare[a:a + LEAST]
-        if least * 10 <= LEAST or found[few].sum() * 2 >= few.sum() > 0:
+        if least * 10 <= LEAST or found[few].sum() * 2 >= few.sum() > 0 or not rival(stretch, part, least + (RIVAL if few.any() else EDITS) - 1):
             return True
     return False
 
@@ -228,6 +237,8 @@ class Block:
             for x in {w[j:j + COMMON_RUN].tobytes() for j in range(len(w) - COMMON_RUN + 1)}:
                 runs[x] = runs.get(x, 0) + 1
         self.rare = [np.array([holders[x] <= RARE_ITEMS for x in w.tolist()], bool) for w in self.items]
+        self.all = np.concatenate([np.append(w, 0) for w in self.items]) if self.items else np.zeros(0, np.int64)  # 0 ends an item
+        self.owner = np.repeat(np.arange(len(self.items)), [len(w) + 1 for w in self.items])
         for w in self.items:
             shared = [j for j in range(len(w) - COMMON_RUN + 1) if runs[w[j:j + COMMON_RUN].tobytes()] >= COMMON_ITEMS]
             for j in shared:
@@ -241,6 +252,15 @@ class Block:
         self.h, first, self.n = np.unique(h[order], return_index=True, return_counts=True)
         self.first, self.who, self.pos = first, who[order], pos[order]
 
+    def within(self, part: np.ndarray, most: int) -> set[int]:
+        """Numbers of the items that have a stretch within `most` edits of part."""
+        size = np.bincount(self.owner[np.isin(self.all, part[part > 0])], minlength=len(self.items))
+        return {int(k) for k in np.flatnonzero(size >= len(part) - most) if edits(part, self.all[self.owner == k])[0] <= most}
+
+    def rival(self, stretch: np.ndarray, part: np.ndarray, most: int) -> bool:
+        """Whether an item within `most` edits of the stretch does not hold part itself."""
+        return bool(self.within(stretch, most) - self.within(part, LEAST // 10))
+
     def leaks(self, text: str | None) -> list[int]:
         """Ids of the items that leaked into a text."""
         doc = [self.vocabulary.get(w, 0) for w in words(text)]
@@ -272,7 +292,7 @@ class Block:
                 for i, d in dict.fromkeys(zip((k[found] >> 40).tolist(), middle.tolist())):
                     near.setdefault(i, {})[d] = None
         ids[ids == 0] = -1  # unknown words equal nothing
-        return [self.ids[i] for i, ds in near.items() if len(self.items[i]) >= LEAST and any(leaked(self.items[i], self.rare[i], ids, d) for d in ds)]
+        return [self.ids[i] for i, ds in near.items() if len(self.items[i]) >= LEAST and any(leaked(self.items[i], self.rare[i], ids, d, self.rival) for d in ds)]
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_WORDS) -> Iterator[Block]:

@@ -67,6 +67,23 @@ def test_no_leaks():
     assert common.leaks(" ".join(ITEM[:12] + ["w1x0", "w1x1", "q"] + OTHER)) == []
 
 
+def test_edited_passages_without_rare_words():
+    r = random.Random(6)
+    shared = ITEM[:80]
+    items = [r.sample(shared, 80) for _ in range(6)]
+    block = K.Block([(i, " ".join(w)) for i, w in enumerate(items)])
+    assert not any(x.any() for x in block.rare)
+    part = items[2][20:45]
+    for at in ((5, 11, 18), (4, 9, 14, 19)):
+        copy = ["zzz" if i in at else w for i, w in enumerate(part)]
+        assert block.leaks(doc(copy)) == [2]
+    # slots filled anew in phrases of several items: as near to one item as to another
+    phrases = [[f"p{i}x{j}" for j in range(5)] for i in range(6)]
+    fill = lambda s: [w for i, p in enumerate(phrases) for w in [*p, f"{s}{i}"]]
+    block = K.Block([(i, " ".join(fill(f"s{i % 2}v{i}w"))) for i in range(4)])
+    assert block.leaks(doc(fill("new"))) == []
+
+
 def test_table_and_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(1, doc(ITEM[5:60]), "x"), (2, None, "y"), (1, doc(ITEM[5:60]), "x"), (3, "", "z"), (4, doc([]), "")], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(7, " ".join(ITEM)), (8, None), (9, " ".join(OTHER[:40]))], "item_id long, text string")
