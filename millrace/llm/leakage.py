@@ -34,6 +34,7 @@ EDITS = -(-LEAST // EIGHTH)  # words of LEAST that may be changed, dropped or ad
 #: Seeds of a passage of LEAST words that are left at least: EDITS + 1 runs hold them.
 FEWEST_SEEDS = LEAST - EDITS - (EDITS + 1) * (SEED - 1)
 TILED = LEAST - EDITS - 2  # words of LEAST that tiles must cover; single words between two edits make no tile
+INNER = LEAST - LEAST // EIGHTH  # words of LEAST from the first found to the last; what is changed may lie at the ends
 SLACK = 6  # words added or dropped within a passage
 SHORTEST_TILE = 2
 COMMON_RUN, COMMON_ITEMS, RARE_ITEMS = 11, 3, 2
@@ -204,22 +205,20 @@ def leaked(item: np.ndarray, rare: np.ndarray, doc: np.ndarray, diagonal: int, r
             same[a:b] |= item[a:b] == doc[a + off:b + off]
     total = np.concatenate([[0], np.cumsum(same)])
     n = total[LEAST:] - total[:-LEAST]
-    last = -LEAST
-    for a in np.flatnonzero(n >= LEAST - EDITS):
-        a = int(a)
-        if a - last < 3 and n[a] <= n[last]:
-            continue  # hardly another window than the one just refused
-        last = a
+    at = np.flatnonzero(n >= LEAST - EDITS)
+    doubtful: list[tuple[np.ndarray, np.ndarray, int]] = []
+    for a in at[np.argsort(-n[at], kind="stable")].tolist():  # the likeliest first, since one will do
         part, near = item[a:a + LEAST], doc[max(0, a + diagonal - SLACK):a + LEAST + diagonal + SLACK]
         if covered(part.tolist(), near.tolist()) < TILED:
             continue
         least, found, stretch = align(part, near)
-        if least > EDITS or extent(found) < LEAST - 1:
+        if least > EDITS or extent(found) < INNER:
             continue
         few = rare[a:a + LEAST]
-        if least * 10 <= LEAST or found[few].sum() * 2 >= few.sum() > 0 or not rival(stretch, part, least + (RIVAL if few.any() else EDITS) - 1):
+        if least * 10 <= LEAST or found[few].sum() * 2 >= few.sum() > 0:
             return True
-    return False
+        doubtful.append((stretch, part, least + (RIVAL if few.any() else EDITS) - 1))
+    return any(not rival(*x) for x in doubtful)
 
 
 class Block:
@@ -252,14 +251,15 @@ class Block:
         self.h, first, self.n = np.unique(h[order], return_index=True, return_counts=True)
         self.first, self.who, self.pos = first, who[order], pos[order]
 
-    def within(self, part: np.ndarray, most: int) -> set[int]:
-        """Numbers of the items that have a stretch within `most` edits of part."""
-        size = np.bincount(self.owner[np.isin(self.all, part[part > 0])], minlength=len(self.items))
-        return {int(k) for k in np.flatnonzero(size >= len(part) - most) if edits(part, self.all[self.owner == k])[0] <= most}
-
     def rival(self, stretch: np.ndarray, part: np.ndarray, most: int) -> bool:
-        """Whether an item within `most` edits of the stretch does not hold part itself."""
-        return bool(self.within(stretch, most) - self.within(part, LEAST // 10))
+        """Whether an item has a passage within `most` edits of the stretch and does not hold part itself."""
+        size = np.bincount(self.owner[np.isin(self.all, stretch[stretch > 0])], minlength=len(self.items))
+        near = np.flatnonzero(size >= len(stretch) - most)  # fewer equal words cannot be within
+        for k in near[np.argsort(-size[near], kind="stable")]:
+            w = self.all[slice(*np.searchsorted(self.owner, (k, k + 1)))]
+            if edits(stretch, w)[0] <= most and edits(part, w)[0] > LEAST // 10:
+                return True
+        return False
 
     def leaks(self, text: str | None) -> list[int]:
         """Ids of the items that leaked into a text."""

@@ -84,6 +84,17 @@ def test_edited_passages_without_rare_words():
     assert block.leaks(doc(fill("new"))) == []
 
 
+def test_changes_at_the_ends_and_every_window():
+    part = ITEM[10:35]
+    for at in ((0, 1), (0, 24), (23, 24), (0, 12, 24), (0, 1, 24)):
+        assert BLOCK.leaks(doc(["zzz" if i in at else w for i, w in enumerate(part)])) == [7], at
+    # words before the passage that match by chance, so that windows too early have as many matches
+    early = [*ITEM[8:10], "zzz", *part[1:12], "zzz", *part[13:]]
+    early[0], early[1] = ITEM[9], ITEM[8]
+    assert BLOCK.leaks(doc(early)) == [7]
+    assert BLOCK.leaks(doc(ITEM[10:31])) == []
+
+
 def test_table_and_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(1, doc(ITEM[5:60]), "x"), (2, None, "y"), (1, doc(ITEM[5:60]), "x"), (3, "", "z"), (4, doc([]), "")], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(7, " ".join(ITEM)), (8, None), (9, " ".join(OTHER[:40]))], "item_id long, text string")
