@@ -163,7 +163,7 @@ def _value(m: re.Match) -> tuple[int, int, bool] | None:
 def _pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """The piece of a quoted value at [start, end) and those joined to it by an operator, on this line or the next ones."""
     out, at = [(start, end)], end + 1
-    while len(out) < 200:
+    while True:
         m = SAME_LINE.match(text, at) or CONTINUED.match(text, at)
         if not m:
             return out

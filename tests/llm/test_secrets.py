@@ -45,3 +45,9 @@ def test_table(spark):
     out = S.redact(df)
     assert out.columns == df.columns and sorted(str(r.text) for r in out.collect()) == sorted(["a\npwd = '[MASKED]'"] * 2 + ["None", ""])
     assert S.scan(df.limit(0)).count() == 0 == S.redact(df.limit(0)).count()
+
+
+def test_a_value_in_very_many_pieces():
+    parts = [f"Zq{i:03d}x" for i in range(260)]
+    text = "token = " + " + ".join(f"'{p}'" for p in parts) + "\nend"
+    assert not any(p in S.mask(text) for p in parts)
