@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def builder(app: str = "millrace", cpus: int | None = None) -> SparkSession:
-    """A local session with the settings a cluster would also carry: UTC, AQE with skew handling, Arrow."""
+    """A local session: UTC, AQE with skew handling, Arrow. A cluster brings its own settings, shuffle partitions above all."""
     master = f"local[{cpus}]" if cpus else "local[*]"
     return (
         SparkSession.builder.master(os.environ.get("SPARK_MASTER", master))
@@ -16,7 +17,7 @@ def builder(app: str = "millrace", cpus: int | None = None) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", os.environ.get("SPARK_SHUFFLE_PARTITIONS", "8"))  # a machine's cores; AQE joins small ones
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -25,9 +26,19 @@ def builder(app: str = "millrace", cpus: int | None = None) -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame, fallback: str = "/tmp/millrace-checkpoints") -> DataFrame:
-    """Checkpoint into the shared folder of spark.checkpoint.dir; the fallback serves sessions without one (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Only a local session, which has one machine, may go without."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/millrace-checkpoints"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The table, computed now and kept in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or fallback)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
