@@ -56,7 +56,7 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of evaluation items, with the items."""
-    return leakage.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")).distinct()
+    return leakage.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

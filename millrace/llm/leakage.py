@@ -1,20 +1,28 @@
 """Evaluation texts leaking into a corpus: which documents hold passages of which test items.
 
 Both sides are reduced to words that ignore case, punctuation, accents, layout, markup and escapes. Documents are
-joined to items on shared seeds, runs of SEED words; a pair goes on only where enough of its seeds lie on nearly the
-same diagonal (document position less item position) and LEAST successive item words find nearly all their equals on
-the neighbouring diagonals. Those words and the stretch of the document around them are tiled greedily: the longest
-non-overlapping matches are marked first, found by running Karp-Rabin hashes of falling length. The pair is a leak
-if the tiles, in whatever order they lie, cover nearly all of them, and an exact check finds no more than about one
-changed, dropped or added word in EIGHTH. Runs of COMMON_RUN words found in COMMON_ITEMS items or more, such as
-instructions, match nothing. What differs in more than a tenth of its words and in most of the words that few items
-have may only be made from the same phrases: it is refused if other items hold the stretch about equally well.
+joined to items on shared seeds, runs of SEED words; a stretch of a document goes on with an item only where enough
+of the seeds of LEAST successive item words lie in it, in whatever order. The item is then held against the stretch
+by greedy string tiling: the longest non-overlapping matches are marked first, found by running Karp-Rabin hashes of
+falling length. A pair is a leak if the tiles cover nearly all of LEAST successive item words, and either
+
+* an exact check finds no more than about one changed, dropped or added word in EIGHTH between those words and the
+  document, or
+* the tiles are blocks of at least MOVED words that stand close together in another order, and what is not covered
+  and the number of breaks in the order together stay within the same bound.
+
+Runs of COMMON_RUN words found in COMMON_ITEMS items or more, such as instructions, match nothing. What differs in
+more than a tenth of its words or in their order, and in most of the words that few items have, may only be made from
+the same phrases: it is refused if other items hold the stretch about equally well. Common runs, words that few items
+have and such rivals are asked of all items, however they fall into blocks.
 
 The items are a stated set: they are packed into blocks of at most BLOCK_WORDS words, and each block is sent to the
-executors once and held against all documents; several blocks mean several passes, never a larger broadcast.
+executors once and held against all documents; several blocks mean several passes, one after the other, never a larger
+broadcast.
 
-Defined results: null and empty texts have no leak; items shorter than LEAST words cannot leak; an item's repeats
-within one document give one row; repeated documents give repeated rows; very long texts are read whole.
+Defined results: null and empty texts have no leak; items shorter than LEAST words cannot leak; items of one text
+leak together, and count once where items are counted; each pair of ids comes out once, however often it occurs; very
+long texts are read whole.
 """
 
 from __future__ import annotations
@@ -22,12 +30,18 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.operators.blocks import each_block
+from millrace.session import cut_lineage
+
 LEAST, EIGHTH = 25, 8
 SEED = 4
 EDITS = -(-LEAST // EIGHTH)  # words of LEAST that may be changed, dropped or added
@@ -36,6 +50,10 @@ FEWEST_SEEDS = LEAST - EDITS - (EDITS + 1) * (SEED - 1)
 TILED = LEAST - EDITS - 2  # words of LEAST that tiles must cover; single words between two edits make no tile
 INNER = LEAST - LEAST // EIGHTH  # words of LEAST from the first found to the last; what is changed may lie at the ends
 SLACK = 6  # words added or dropped within a passage
+LONGEST = -(-(LEAST - EDITS) // (EDITS + 1))  # words of the longest of the runs that EDITS leave of LEAST words, at least
+MOVED = 8  # words of a block that stands in another place than in the item
+STRETCH = 2 * LEAST  # words of a document that hold LEAST moved words at most
+BAND = 2 * STRETCH  # words of a document looked at together; two ways of cutting, so that no stretch is cut in both
 SHORTEST_TILE = 2
 COMMON_RUN, COMMON_ITEMS, RARE_ITEMS = 11, 3, 2
 RIVAL = 9  # edits by which other items must be further from a stretch that lacks the words few items have; EDITS if there are none
@@ -43,7 +61,7 @@ BLOCK_WORDS = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 ESCAPES = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([nrtbf])|\\(.)", re.S)
-MARKUP = re.compile(r"<!--.{0,2000}?-->|</?[A-Za-z][^<>]{0,300}>|\]\([^()\s]*\)|[|]|(?<=[^\W\d_])[—/](?=[^\W\d_])", re.S)
+MARKUP = re.compile(r"<!--(?:[^-]|-(?!->))*+-->|</?[A-Za-z][^<>]*+>|\]\([^()\s]*\)|[|]|(?<=[^\W\d_])[—/](?=[^\W\d_])", re.S)
 HYPHENED = re.compile(r"[-‐‑\xad]\s*\n\s*(?=[^\W\d_])")
 CJK = re.compile(r"([぀-ヿ㐀-䶿一-鿿가-힯])")
 JUNK = re.compile(r"[^\w\s]+|_+")
@@ -97,7 +115,8 @@ def tiles(a: list[int], b: list[int], shortest: int = SHORTEST_TILE, start: int
     and marked from the longest to the shortest, earlier ones first; a marked word is never used again.
     """
     out: list[tuple[int, int, int]] = []
-    free_a, free_b = bytearray(b"\1" * len(a)), bytearray(b"\1" * len(b))
+    both = {*a} & {*b}
+    free_a, free_b = bytearray(w in both for w in a), bytearray(w in both for w in b)
     mod, base = (1 << 61) - 1, 1_000_003
 
     def runs(x: list[int], free: bytearray, n: int) -> Iterator[tuple[int, int]]:
@@ -145,11 +164,6 @@ def tiles(a: list[int], b: list[int], shortest: int = SHORTEST_TILE, start: int
         n = max(shortest, n // 2)
 
 
-def covered(item: list[int], doc: list[int]) -> int:
-    """Words of the item that the tiles cover."""
-    return sum(k for _, _, k in tiles(item, doc))
-
-
 def edits(item: np.ndarray, doc: np.ndarray) -> tuple[int, np.ndarray]:
     """Least number of changed, dropped or added words between the item words and any stretch of the document.
 
@@ -158,8 +172,8 @@ def edits(item: np.ndarray, doc: np.ndarray) -> tuple[int, np.ndarray]:
     return align(item, doc)[:2]
 
 
-def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """The result of `edits`, and the best stretch of the document."""
+def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, np.ndarray, slice]:
+    """The result of `edits`, and where the best stretch of the document lies."""
     n, m = len(item), len(doc)
     d = np.zeros((n + 1, m + 1), np.int64)
     d[:, 0] = np.arange(n + 1)
@@ -180,7 +194,7 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, np.ndarray, np.ndarra
             i -= 1
         else:
             j -= 1
-    return least, found, doc[j:end]
+    return least, found, slice(j, end)
 
 
 def extent(found: np.ndarray) -> int:
@@ -193,143 +207,298 @@ def extent(found: np.ndarray) -> int:
     return at[-1] - at[0] + 1 if at else 0
 
 
-def leaked(item: np.ndarray, rare: np.ndarray, doc: np.ndarray, diagonal: int, rival: Callable[[np.ndarray, np.ndarray, int], bool]) -> bool:
-    """Whether LEAST successive item words are in the document near a diagonal, up to one word in EIGHTH.
+def moved(found: list[tuple[int, int, int]], at: int) -> tuple[int, np.ndarray, slice] | None:
+    """The result of `align` for the LEAST item words from `at`, their blocks in any order: None if they do not hold together.
 
-    rival(stretch, part, most): whether an item of another text than `part` is within `most` edits of the stretch.
+    Only tiles of MOVED words or more count; each place where the order of the blocks breaks counts as an edit.
     """
-    same = np.zeros(len(item), bool)
-    for off in range(diagonal - SLACK, diagonal + SLACK + 1):
-        a, b = max(0, -off), min(len(item), len(doc) - off)
-        if b > a:
-            same[a:b] |= item[a:b] == doc[a + off:b + off]
-    total = np.concatenate([[0], np.cumsum(same)])
-    n = total[LEAST:] - total[:-LEAST]
-    at = np.flatnonzero(n >= LEAST - EDITS)
-    doubtful: list[tuple[np.ndarray, np.ndarray, int]] = []
-    for a in at[np.argsort(-n[at], kind="stable")].tolist():  # the likeliest first, since one will do
-        part, near = item[a:a + LEAST], doc[max(0, a + diagonal - SLACK):a + LEAST + diagonal + SLACK]
-        if covered(part.tolist(), near.tolist()) < TILED:
-            continue
-        least, found, stretch = align(part, near)
-        if least > EDITS or extent(found) < INNER:
-            continue
-        few = rare[a:a + LEAST]
-        if least * 10 <= LEAST or found[few].sum() * 2 >= few.sum() > 0:
-            return True
-        doubtful.append((stretch, part, least + (RIVAL if few.any() else EDITS) - 1))
-    return any(not rival(*x) for x in doubtful)
+    parts = sorted((j + max(0, at - i), max(i, at), min(i + k, at + LEAST)) for i, j, k in found if min(i + k, at + LEAST) - max(i, at) >= MOVED)
+    if len(parts) < 2 or parts[-1][0] + parts[-1][2] - parts[-1][1] - parts[0][0] > STRETCH:
+        return None
+    same = np.zeros(LEAST, bool)
+    for _, a, b in parts:
+        same[a - at:b - at] = True
+    breaks = sum(y[1] < x[2] for x, y in zip(parts, parts[1:]))
+    return int(LEAST - same.sum()) + breaks, same, slice(parts[0][0], parts[-1][0] + parts[-1][2] - parts[-1][1])
+
+
+class Doubt(NamedTuple):
+    """A stretch of a document that is a leak unless an item of another text than `part` is within `most` edits of it."""
+
+    stretch: list[str]
+    part: list[str]
+    most: int
+
+
+class Place(NamedTuple):
+    """Document words from lo to hi that share the seeds with item words from first to last; seeds are diagonal << 24 | item position."""
+
+    lo: int
+    hi: int
+    first: int
+    last: int
+    seeds: np.ndarray
 
 
 class Block:
-    """Seeds of a block of items, sorted by hash, with the item and the position each stands for."""
+    """Distinct item texts with their seeds, sorted by hash, each with the item and the position it stands for.
+
+    common: the hashes of COMMON_RUN words found in COMMON_ITEMS items or more; frequent: those of words found in more
+    than RARE_ITEMS. Both are counted over all items; if not given, the block holds all there are.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[list[int], str]], common: set[int] | None = None, frequent: set[int] | None = None):
         self.ids = [i for i, _ in items]
         self.vocabulary: dict[str, int] = {}
-        self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(t)], np.int64) for _, t in items]
-        holders: dict[int, int] = {}
-        runs: dict[bytes, int] = {}
-        for w in self.items:
-            for x in set(w.tolist()):
-                holders[x] = holders.get(x, 0) + 1
-            for x in {w[j:j + COMMON_RUN].tobytes() for j in range(len(w) - COMMON_RUN + 1)}:
-                runs[x] = runs.get(x, 0) + 1
-        self.rare = [np.array([holders[x] <= RARE_ITEMS for x in w.tolist()], bool) for w in self.items]
+        self.words: list[str] = ["\0"]  # what is masked
+        read = [words(t) for _, t in items]
+        for w in read:
+            for x in w:
+                if x not in self.vocabulary:
+                    self.vocabulary[x] = len(self.words)
+                    self.words.append(x)
+        self.items = [np.array([self.vocabulary[x] for x in w], np.int64) for w in read]
+        if common is None:
+            seen: dict[str, dict[int, int]] = {"run": {}, "word": {}}
+            for w in read:
+                for kind, h in features(w):
+                    seen[kind][h] = seen[kind].get(h, 0) + 1
+            common = {h for h, n in seen["run"].items() if n >= COMMON_ITEMS}
+            frequent = {h for h, n in seen["word"].items() if n > RARE_ITEMS}
+        self.rare = [np.array([word_hash(x) not in frequent for x in w], bool) for w in read]
         self.all = np.concatenate([np.append(w, 0) for w in self.items]) if self.items else np.zeros(0, np.int64)  # 0 ends an item
         self.owner = np.repeat(np.arange(len(self.items)), [len(w) + 1 for w in self.items])
-        for w in self.items:
-            shared = [j for j in range(len(w) - COMMON_RUN + 1) if runs[w[j:j + COMMON_RUN].tobytes()] >= COMMON_ITEMS]
-            for j in shared:
-                w[j:j + COMMON_RUN] = -2  # equals no word of a document
         h, who, pos = [], [], []
-        for k, w in enumerate(self.items):
+        for k, (w, said) in enumerate(zip(self.items, read)):
+            masked = np.zeros(len(w), bool)
+            for j, run in enumerate(run_hashes(said)):
+                if run in common:
+                    masked[j:j + COMMON_RUN] = True
+            w[masked] = 0  # equals no word of a document
             x = _hashes(w, SEED)
-            h.append(x), who.append(np.full(len(x), k, np.int64)), pos.append(np.arange(len(x)))
+            whole = np.flatnonzero(np.convolve(masked, np.ones(SEED, int))[SEED - 1:len(w)] == 0) if len(x) else np.zeros(0, np.int64)
+            h.append(x[whole]), who.append(np.full(len(whole), k, np.int64)), pos.append(whole)
         h, who, pos = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, who, pos))
         order = np.argsort(h, kind="stable")
         self.h, first, self.n = np.unique(h[order], return_index=True, return_counts=True)
         self.first, self.who, self.pos = first, who[order], pos[order]
 
-    def rival(self, stretch: np.ndarray, part: np.ndarray, most: int) -> bool:
-        """Whether an item has a passage within `most` edits of the stretch and does not hold part itself."""
+    def rival(self, doubt: Doubt) -> bool:
+        """Whether an item of the block has a passage that near the stretch and does not hold the part itself."""
+        stretch = np.array([self.vocabulary.get(x, -1) for x in doubt.stretch], np.int64)
+        part = np.array([self.vocabulary.get(x, -1) for x in doubt.part], np.int64)
         size = np.bincount(self.owner[np.isin(self.all, stretch[stretch > 0])], minlength=len(self.items))
-        near = np.flatnonzero(size >= len(stretch) - most)  # fewer equal words cannot be within
+        near = np.flatnonzero(size >= len(stretch) - doubt.most)  # fewer equal words cannot be within
         for k in near[np.argsort(-size[near], kind="stable")]:
             w = self.all[slice(*np.searchsorted(self.owner, (k, k + 1)))]
-            if edits(stretch, w)[0] <= most and edits(part, w)[0] > LEAST // 10:
+            if edits(stretch, w)[0] <= doubt.most and edits(part, w)[0] > LEAST // 10:
                 return True
         return False
 
-    def leaks(self, text: str | None) -> list[int]:
-        """Ids of the items that leaked into a text."""
-        doc = [self.vocabulary.get(w, 0) for w in words(text)]
-        ids = np.array(doc, np.int64)
-        if len(ids) < SEED or not len(self.h):
-            return []
+    def stretches(self, ids: np.ndarray) -> dict[int, list[Place]]:
+        """By item, the places where enough seeds of LEAST successive item words lie together."""
+        near: dict[int, list[Place]] = {}
         h = _hashes(ids, SEED)
+        if not len(self.h) or not len(h):
+            return near
         at = np.searchsorted(self.h, h)
         at[at == len(self.h)] = 0
         hit = np.flatnonzero(self.h[at] == h)
         if len(hit) < FEWEST_SEEDS:
-            return []
+            return near
         rep = self.n[at[hit]]
         where = np.repeat(hit, rep)
         post = np.repeat(self.first[at[hit]], rep) + np.arange(len(where)) - np.repeat(np.cumsum(rep) - rep, rep)
         who, pos = self.who[post], self.pos[post]
-        diagonal = where - pos + (1 << 20)
-        near: dict[int, dict[int, None]] = {}
         m = FEWEST_SEEDS - 1
-        for shift in (0, SLACK):  # two ways of cutting the diagonals into bands, so that no passage is cut in both
-            key = (who << 40) | ((diagonal + shift) // (2 * SLACK))
+        for shift in (0, BAND // 2):
+            key = (who << 40) | ((where + shift) // BAND)
             order = np.lexsort((pos, key))
-            k, p = key[order], pos[order]
-            if len(k) <= m:
+            keys, seeds, k, p = key[order], ((where - pos) << 24)[order] + pos[order], key[order], pos[order]
+            once = np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])])
+            k, p = k[once], p[once]
+            found = np.flatnonzero((k[m:] == k[:-m]) & (p[m:] - p[:-m] <= LEAST - SEED)) if len(k) > m else ()
+            if not len(found):
+                continue
+            k, a, b = k[found], p[found], p[found + m]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            for x, lo, hi in zip(k[first].tolist(), np.minimum.reduceat(a, first).tolist(), np.maximum.reduceat(b, first).tolist()):
+                start = (x & (1 << 40) - 1) * BAND - shift
+                mine = seeds[slice(*np.searchsorted(keys, (x, x + 1)))]
+                near.setdefault(x >> 40, []).append(Place(max(0, start - LEAST), start + BAND + LEAST, max(0, lo - LEAST), hi + SEED + LEAST, mine))
+        return near
+
+    def leaked(self, k: int, ids: np.ndarray, said: list[str], places: list[Place]) -> list[Doubt] | None:
+        """What speaks for a leak of the k-th item: None if it is one for sure, else the stretches that may be one."""
+        doubts: list[Doubt] = []
+        for lo, hi, first, last, seeds in places:
+            part, doc = self.items[k][first:last], ids[lo:hi]
+            if len(part) < LEAST:
                 continue
-            found = np.flatnonzero((k[m:] == k[:-m]) & (p[m:] - p[:-m] <= LEAST + SLACK))
-            if len(found):
-                middle = np.sort(diagonal[order[found[:, None] + np.arange(m + 1)]], 1)[:, m // 2] - (1 << 20)
-                for i, d in dict.fromkeys(zip((k[found] >> 40).tolist(), middle.tolist())):
-                    near.setdefault(i, {})[d] = None
-        ids[ids == 0] = -1  # unknown words equal nothing
-        return [self.ids[i] for i, ds in near.items() if len(self.items[i]) >= LEAST and any(leaked(self.items[i], self.rare[i], ids, d, self.rival) for d in ds)]
+            at = seeds & (1 << 24) - 1
+            seeds = np.sort(seeds[(at >= first) & (at < first + len(part))])
+            two = seeds[1:] - seeds[:-1] == 1
+            # edits leave a run of LONGEST words, hence two seeds in a row: equal words of each window about those diagonals
+            diagonals = [d + first - lo for d in np.unique(seeds[1:][two] >> 24).tolist()]
+            near = np.array([_counts(_about(part, doc, d)) for d in diagonals] or [np.zeros(len(part) - LEAST + 1, np.int64)])
+            total = near.max(0)
+            if total.max() < LEAST - EDITS:
+                # moved blocks are runs of MOVED words, hence MOVED - SEED + 1 seeds in a row
+                row = np.convolve(two, np.ones(MOVED - SEED, int))[MOVED - SEED - 1:len(two)] == MOVED - SEED if len(two) >= MOVED - SEED else np.zeros(0, bool)
+                at = (seeds[:len(row)][row] & (1 << 24) - 1) - first
+                held = np.zeros(len(part) + MOVED, bool)
+                held[(at[:, None] + np.arange(MOVED)).ravel()] = True
+                if _counts(held[:len(part)]).max() <= LEAST - EDITS:
+                    continue
+            found = tiles(part.tolist(), doc.tolist())
+            same = np.zeros(len(part), bool)
+            for i, _, n in found:
+                same[i:i + n] = True
+            covered = _counts(same)
+            at = np.flatnonzero(covered >= TILED)
+            for a in at[np.argsort(-total[at], kind="stable")].tolist():  # the likeliest first, since one will do
+                least, equal, stretch, order = LEAST, same[:0], slice(0), True
+                if total[a] >= LEAST - EDITS:
+                    start = max(0, a + diagonals[int(near[:, a].argmax())] - SLACK)
+                    least, equal, stretch = align(part[a:a + LEAST], doc[start:start + LEAST + 2 * SLACK])
+                    stretch = slice(start + stretch.start, start + stretch.stop)
+                if least > EDITS or extent(equal) < INNER:
+                    if (other := moved(found, a)) is None or other[0] > EDITS:
+                        continue
+                    (least, equal, stretch), order = other, False
+                few = self.rare[k][first + a:first + a + LEAST]
+                if order and least * 10 <= LEAST or equal[few].sum() * 2 >= few.sum() > 0:
+                    return None
+                doubts.append(Doubt(said[lo:hi][stretch], [self.words[x] for x in part[a:a + LEAST]], least + (RIVAL if few.any() else EDITS) - 1))
+        return doubts
+
+    def leaks(self, text: str | None) -> Iterator[tuple[list[int], list[Doubt] | None]]:
+        """(ids of an item, None or its doubts) of the items that may have leaked into a text."""
+        said = words(text)
+        ids = np.array([self.vocabulary.get(w, -1) for w in said], np.int64)  # unknown words equal nothing
+        for k, places in self.stretches(ids).items():
+            doubts = self.leaked(k, ids, said, places)
+            if doubts is None or doubts:
+                yield self.ids[k], doubts
+
+    def sure(self, text: str | None) -> list[int]:
+        """Ids of the items that leaked into a text, if the block holds all items."""
+        return [i for ids, doubts in self.leaks(text) if doubts is None or not all(map(self.rival, doubts)) for i in ids]
+
+
+def _counts(same: np.ndarray) -> np.ndarray:
+    """True values in every window of LEAST."""
+    total = np.concatenate([[0], np.cumsum(same)])
+    return total[LEAST:] - total[:-LEAST]
+
+
+def _about(item: np.ndarray, doc: np.ndarray, diagonal: int) -> np.ndarray:
+    """Which item words have their equal in the document within SLACK of a diagonal."""
+    padded = np.full(len(item) + 2 * SLACK, -1, np.int64)
+    lo, hi = max(0, diagonal - SLACK), min(len(doc), diagonal + SLACK + len(item))
+    if lo < hi:
+        padded[lo - diagonal + SLACK:hi - diagonal + SLACK] = doc[lo:hi]
+    return (np.lib.stride_tricks.sliding_window_view(padded, 2 * SLACK + 1) == item[:, None]).any(1)
+
+
+def word_hash(w: str) -> int:
+    return xxhash.xxh3_64_intdigest(w) - (1 << 63)
+
+
+def run_hashes(said: list[str]) -> list[int]:
+    """Hashes of every run of COMMON_RUN words."""
+    return [word_hash(" ".join(said[j:j + COMMON_RUN])) for j in range(len(said) - COMMON_RUN + 1)]
+
+
+def features(said: list[str]) -> set[tuple[str, int]]:
+    """The distinct runs and words of an item."""
+    return {("run", h) for h in run_hashes(said)} | {("word", word_hash(w)) for w in {*said}}
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The items in blocks of at most `most` words, fetched one partition after the other."""
-    part: list[tuple[int, str]] = []
-    n = 0
-    for r in items.select(id_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
-        size = len(r[1]) // 4 + 1
-        if part and n + size > most:
-            yield Block(part)
-            part, n = [], 0
-        part.append((r[0], r[1]))
-        n += size
-    if part:
-        yield Block(part)
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", doc_text: str = "text", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id) of every leak."""
+    """The items in blocks of about `most` words at most, fetched one after the other; equal texts are one item.
+
+    A text's block is told by its hash. What is common to several items is counted over all of them by the executors.
+    """
+    spark = items.sparkSession
+    src = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.length("t") > 0)
+    n = -(-int(src.agg(F.sum(F.length("t") / 4 + 1)).first()[0] or 0) // most)
+    if not n:
+        return
+    texts = src.groupBy("t").agg(F.collect_set("i").alias("ids")).withColumn("b", F.pmod(F.xxhash64("t"), F.lit(n)))
+    if n == 1:
+        yield Block([(r.ids, r.t) for r in texts.toLocalIterator()])
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, kind, h = [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                for x, y in features(words(t)):
+                    at.append(i), kind.append(x), h.append(y)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(kind, pa.string()), pa.array(h, pa.int64())], names=["b", "kind", "h"])
+
+    held = texts.select("b", "t").mapInArrow(run, "b long, kind string, h long").groupBy("kind", "h", "b").agg(F.count(F.lit(1)).alias("n"))
+    held = held.groupBy("kind", "h").agg(F.sum("n").alias("n"), F.collect_list("b").alias("bs")).where(f"kind = 'run' AND n >= {COMMON_ITEMS} OR kind = 'word' AND n > {RARE_ITEMS}")
+    held = cut_lineage(held.select("kind", "h", F.explode("bs").alias("b")))
+    for k in range(n):
+        part = [(r.ids, r.t) for r in texts.where(F.col("b") == k).toLocalIterator()]
+        if part:
+            shared: dict[str, set[int]] = {"run": set(), "word": set()}
+            for r in held.where(F.col("b") == k).toLocalIterator():
+                shared[r.kind].add(r.h)
+            yield Block(part, shared["run"], shared["word"])
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", doc_text: str = "text", item_text: str = "text", most: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, item_id) of every leak, each pair once."""
     spark = docs.sparkSession
-    schema = f"doc {dict(docs.dtypes)[doc_id]}, item {dict(items.dtypes)[item_id]}"
+    pair = f"doc {dict(docs.dtypes)[doc_id]}, item {dict(items.dtypes)[item_id]}"
+    doubt = f"{pair}, stretch array<string>, part array<string>, most int"
+    types = [pa.list_(pa.string()), pa.list_(pa.string()), pa.int32()]
     src = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("t")).where(F.length("t") > 0)
-    out = None
-    for block in blocks(items, item_id, item_text):
-        sent = spark.sparkContext.broadcast(block)
+    alone = [True]
+
+    def parts() -> Iterator[Block]:
+        for i, b in enumerate(blocks(items, item_id, item_text, most)):
+            alone[0] = alone[0] and i == 0
+            yield b
+
+    def apply(sent: Broadcast) -> DataFrame:
+        whole = alone[0]
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = sent.value
             for batch in batches:
-                at, item = [], []
+                rows: list[tuple] = []
                 for i, t in enumerate(batch.column(1).to_pylist()):
-                    for x in b.leaks(t):
-                        at.append(i), item.append(x)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(item, pa.int64())], names=["doc", "item"])
-
-        part = src.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return out.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id))
+                    if whole:
+                        rows += [(i, x, None, None, None) for x in b.sure(t)]
+                        continue
+                    for ids, doubts in b.leaks(t):
+                        rows += [(i, x, *(d or (None, None, None))) for x in ids for d in (doubts or [None])]
+                cols = list(zip(*rows)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int32())), pa.array(cols[1], pa.int64()), *[pa.array(c, t) for c, t in zip(cols[2:], types)]],
+                                                 names=["doc", "item", "stretch", "part", "most"])
+
+        return src.mapInArrow(run, doubt)
+
+    found = each_block(spark, parts(), apply)
+    if found is None:
+        found = spark.createDataFrame([], doubt)
+    sure = found.where("most IS NULL").select("doc", "item")
+    if not alone[0]:  # what is in doubt is asked of every block
+        doubts = found.where("most IS NOT NULL")
+
+        def against(sent: Broadcast) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                b = sent.value
+                for batch in batches:
+                    rows = zip(*(c.to_pylist() for c in batch.columns))
+                    yield batch.filter(pa.array([b.rival(Doubt(*r)) for r in rows], pa.bool_()))
+
+            return doubts.select("stretch", "part", "most").distinct().mapInArrow(run, "stretch array<string>, part array<string>, most int")
+
+        refused = each_block(spark, blocks(items, item_id, item_text, most), against)
+        sure = sure.unionByName(doubts.join(refused, ["stretch", "part", "most"], "left_anti").select("doc", "item"))
+    return sure.distinct().select(F.col("doc").alias(doc_id), F.col("item").alias(item_id))
