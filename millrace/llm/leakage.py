@@ -231,13 +231,13 @@ class Doubt(NamedTuple):
 
 
 class Place(NamedTuple):
-    """Document words from lo to hi that share the seeds with item words from first to last; seeds are diagonal << 24 | item position."""
+    """Document words from lo to hi that share seeds with item words from first to last."""
 
     lo: int
     hi: int
     first: int
     last: int
-    seeds: np.ndarray
+    diagonal: int | None = None  # middle of those the seeds lie on, if they are in order
 
 
 class Block:
@@ -310,51 +310,50 @@ class Block:
         where = np.repeat(hit, rep)
         post = np.repeat(self.first[at[hit]], rep) + np.arange(len(where)) - np.repeat(np.cumsum(rep) - rep, rep)
         who, pos = self.who[post], self.pos[post]
-        m = FEWEST_SEEDS - 1
-        for shift in (0, BAND // 2):
-            key = (who << 40) | ((where + shift) // BAND)
+        diagonal, m = where - pos + (1 << 22), FEWEST_SEEDS - 1
+        for shift in (0, SLACK):  # in order: enough seeds on diagonals within 2 * SLACK; two ways of cutting, so that no passage is cut in both
+            key = (who << 24) | ((diagonal + shift) // (2 * SLACK))
             order = np.lexsort((pos, key))
-            keys, seeds, k, p = key[order], ((where - pos) << 24)[order] + pos[order], key[order], pos[order]
-            once = np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])])
-            k, p = k[once], p[once]
+            k, p = key[order], pos[order]
             found = np.flatnonzero((k[m:] == k[:-m]) & (p[m:] - p[:-m] <= LEAST - SEED)) if len(k) > m else ()
-            if not len(found):
-                continue
-            k, a, b = k[found], p[found], p[found + m]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            for x, lo, hi in zip(k[first].tolist(), np.minimum.reduceat(a, first).tolist(), np.maximum.reduceat(b, first).tolist()):
-                start = (x & (1 << 40) - 1) * BAND - shift
-                mine = seeds[slice(*np.searchsorted(keys, (x, x + 1)))]
-                near.setdefault(x >> 40, []).append(Place(max(0, start - LEAST), start + BAND + LEAST, max(0, lo - LEAST), hi + SEED + LEAST, mine))
+            for x, lo, hi in _spans(k, p, found, m):
+                d = (x & (1 << 24) - 1) * 2 * SLACK - shift - (1 << 22)
+                first, last = max(0, lo - LEAST), hi + SEED + LEAST
+                near.setdefault(x >> 24, []).append(Place(max(0, first + d - SLACK), max(0, last + d + 3 * SLACK), first, last, d + SLACK))
+        code = np.sort((who << 48) | (diagonal << 24) | pos)
+        m = MOVED - SEED
+        runs = code[:-m][code[m:] - code[:-m] == m]  # blocks of MOVED words
+        if len(runs) > 1 and ((runs[1:] >> 48 == runs[:-1] >> 48) & (runs[1:] >> 24 != runs[:-1] >> 24)).any():
+            who, d, pos = runs >> 48, (runs >> 24) & (1 << 24) - 1, runs & (1 << 24) - 1
+            for shift in (0, BAND // 2):  # moved: such blocks on several diagonals, close together in the document
+                key = (who << 24) | ((d - (1 << 22) + pos + shift) // BAND)
+                order = np.lexsort((d, key))
+                k = key[order]
+                found = np.flatnonzero((k[1:] == k[:-1]) & (np.diff(d[order]) != 0))
+                for x, lo, hi in _spans(k, pos[order], found, 1, whole=True):
+                    start = (x & (1 << 24) - 1) * BAND - shift
+                    near.setdefault(x >> 24, []).append(Place(max(0, start - LEAST), start + BAND + LEAST, max(0, lo - LEAST), hi + MOVED + LEAST))
         return near
 
     def leaked(self, k: int, ids: np.ndarray, said: list[str], places: list[Place]) -> list[Doubt] | None:
         """What speaks for a leak of the k-th item: None if it is one for sure, else the stretches that may be one."""
         doubts: list[Doubt] = []
-        for lo, hi, first, last, seeds in places:
+        for lo, hi, first, last, diagonal in places:
             part, doc = self.items[k][first:last], ids[lo:hi]
             if len(part) < LEAST:
                 continue
-            at = seeds & (1 << 24) - 1
-            seeds = np.sort(seeds[(at >= first) & (at < first + len(part))])
-            two = seeds[1:] - seeds[:-1] == 1
-            # edits leave a run of LONGEST words, hence two seeds in a row: equal words of each window about those diagonals
-            diagonals = [d + first - lo for d in np.unique(seeds[1:][two] >> 24).tolist()]
-            near = np.array([_counts(_about(part, doc, d)) for d in diagonals] or [np.zeros(len(part) - LEAST + 1, np.int64)])
-            total = near.max(0)
-            if total.max() < LEAST - EDITS:
-                # moved blocks are runs of MOVED words, hence MOVED - SEED + 1 seeds in a row
-                row = np.convolve(two, np.ones(MOVED - SEED, int))[MOVED - SEED - 1:len(two)] == MOVED - SEED if len(two) >= MOVED - SEED else np.zeros(0, bool)
-                at = (seeds[:len(row)][row] & (1 << 24) - 1) - first
-                held = np.zeros(len(part) + MOVED, bool)
-                held[(at[:, None] + np.arange(MOVED)).ravel()] = True
-                if _counts(held[:len(part)]).max() <= LEAST - EDITS:
-                    continue
+            equal = np.isin(part, doc[doc > 0]) if diagonal is None else _about(part, doc, diagonal + first - lo, 2 * SLACK)
+            if _counts(equal).max() < LEAST - EDITS:
+                continue
             found = tiles(part.tolist(), doc.tolist())
             same = np.zeros(len(part), bool)
             for i, _, n in found:
                 same[i:i + n] = True
             covered = _counts(same)
+            # edits leave a run of LONGEST words: equal words of each window about the diagonals of such tiles
+            diagonals = sorted({j - i for i, j, n in found if n >= LONGEST})
+            near = np.array([_counts(_about(part, doc, d)) for d in diagonals] or [0 * covered])
+            total = near.max(0)
             at = np.flatnonzero(covered >= TILED)
             for a in at[np.argsort(-total[at], kind="stable")].tolist():  # the likeliest first, since one will do
                 least, equal, stretch, order = LEAST, same[:0], slice(0), True
@@ -386,19 +385,32 @@ class Block:
         return [i for ids, doubts in self.leaks(text) if doubts is None or not all(map(self.rival, doubts)) for i in ids]
 
 
+def _spans(key: np.ndarray, pos: np.ndarray, found: np.ndarray, m: int, whole: bool = False) -> Iterator[tuple[int, int, int]]:
+    """(key, first position, last position) of each key with findings: over what was found, or over all the key has."""
+    if not len(found):
+        return
+    if whole:
+        all_ = np.flatnonzero(np.isin(key, key[found]))
+        k, a, b = key[all_], pos[all_], pos[all_]
+    else:
+        k, a, b = key[found], pos[found], pos[found + m]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    yield from zip(k[first].tolist(), np.minimum.reduceat(a, first).tolist(), np.maximum.reduceat(b, first).tolist())
+
+
 def _counts(same: np.ndarray) -> np.ndarray:
     """True values in every window of LEAST."""
     total = np.concatenate([[0], np.cumsum(same)])
     return total[LEAST:] - total[:-LEAST]
 
 
-def _about(item: np.ndarray, doc: np.ndarray, diagonal: int) -> np.ndarray:
-    """Which item words have their equal in the document within SLACK of a diagonal."""
-    padded = np.full(len(item) + 2 * SLACK, -1, np.int64)
-    lo, hi = max(0, diagonal - SLACK), min(len(doc), diagonal + SLACK + len(item))
+def _about(item: np.ndarray, doc: np.ndarray, diagonal: int, within: int = SLACK) -> np.ndarray:
+    """Which item words have their equal in the document within so many words of a diagonal."""
+    padded = np.full(len(item) + 2 * within, -1, np.int64)
+    lo, hi = max(0, diagonal - within), min(len(doc), diagonal + within + len(item))
     if lo < hi:
-        padded[lo - diagonal + SLACK:hi - diagonal + SLACK] = doc[lo:hi]
-    return (np.lib.stride_tricks.sliding_window_view(padded, 2 * SLACK + 1) == item[:, None]).any(1)
+        padded[lo - diagonal + within:hi - diagonal + within] = doc[lo:hi]
+    return (padded[np.arange(len(item))[:, None] + np.arange(2 * within + 1)] == item[:, None]).any(1)
 
 
 def word_hash(w: str) -> int:
