@@ -1,14 +1,16 @@
 """Credentials embedded in source code, configuration and prose: find them and mask exactly them.
 
-Every text is read as a sequence of settings: JSON, YAML, INI, environment files, markup and the assignments of
-programming languages all come down to (key path, value, offsets). A setting is a hit if the last part of its path
-names a secret and the value has the shape of one: no placeholder, reference, prompt, label or limit. Values of a
-known token shape, logins inside addresses, headers and commands, and private keys are hits under any key. Masks
-are spliced into the original text from the last span to the first, so every other code point stays where it was.
+Configuration (JSON, YAML, INI, environment files, properties, TOML) is parsed into settings: the whole key path of
+every value with its offsets. A setting is a hit if its path names a secret and the value has the shape of one: no
+placeholder, reference, prompt, label or limit. A path names a secret by its last part, or by the part above if the
+last only says that this is the value. Markup, code and prose come down to assignments of the same kind, read line by
+line. Values of a known token shape, logins inside addresses, headers and commands, and private keys are hits under
+any key. Masks are spliced into the original text from the last span to the first, so everything else stays where it was.
 
 Defined results: null and empty texts have no hit and come back unchanged; overlapping spans are merged; a value
 cut off by the end of the text counts as far as it goes; a value in pieces is listed at its first piece and every
-piece is masked; repeated rows give repeated results; very long lines are read whole, by linear scans.
+piece is masked; repeated rows give repeated results; very long lines are read whole, by linear scans; a text without
+a path, or with a null one, is taken for configuration if it has the shape of it.
 """
 
 from __future__ import annotations
@@ -16,11 +18,15 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.llm import configs
+
 MASK = "[MASKED]"
 
 #: Last words of a key that name a secret, and last pairs and triples.
@@ -45,7 +51,9 @@ SETTING = re.compile(
     r"(?<!\$\{)(?<![\w$@.\-/])" + KEY + r"['\"`]?\s*\]?\s*(?::\s*(?:Optional\[)?(?:str|string|String|bytes|any|text|Final|const|char\s*\*|&str|&'static str)\]?(?:\s*\|\s*\w+)?\s*=|=>|:=|\?=|<-|->|={1}(?!=)|:(?!:|//)|\s(?:is|was)(?=\s+[`'\"]?[^\s`'\"]*\d))[ \t]*(?P<pre>[rbuf]{1,2}(?=['\"]))?"
     r"(?:" + STR + r"|(?P<bare>[^\s'\"`<>|,;()\[\]{}][^\s'\"`,;<>]*))?", re.M)
 DEFINE = re.compile(r"\b(?:define|setenv|putenv|set|setProperty|put|config|env)\s*\(\s*['\"](?P<key>[\w.\-]+)['\"]\s*,\s*" + STR)
-FIELD = re.compile(r"\b(?:name|id|key)\s*=\s*['\"](?P<key>[\w.\-]+)['\"][^<>\n]{0,300}?\bvalue\s*=\s*" + STR)
+FIELD_NAME_ATTR = re.compile(r"\b(?:name|id|key)\s*=\s*['\"](?P<key>[\w.\-]+)['\"]")
+FIELD_VALUE_ATTR = re.compile(r"\bvalue\s*=\s*" + STR)
+TAG_EDGE = re.compile(r"[<>]")
 ELEMENT = re.compile(r"<(?P<key>[A-Za-z_][\w.\-]*)(?:\s[^<>]*)?>(?P<bare>[^<>\s][^<>\n]*)</(?P=key)>")
 FALLBACK = re.compile(r"(?:process\.env\.(?P<k1>\w+)|(?:getenv|environ\.get|env|ENV\.fetch|System\.getenv|os\.Getenv|getOrDefault)\s*\(\s*['\"](?P<k2>\w+)['\"]\s*\)?|\$_ENV\[\s*['\"](?P<k3>\w+)['\"]\s*\]|environ\[\s*['\"](?P<k4>\w+)['\"]\s*\])[!)]*\s*(?:\|\||\?\?|\?:|,|\bor\b)\s*" + STR)
 SHELL_DEFAULT = re.compile(r"\$\{(?P<key>\w+):?[-=](?P<bare>[^}\s'\"$]+)\}?")
@@ -55,12 +63,12 @@ HEADER = re.compile(r"(?i)\b(?:proxy-)?authori[sz]ation['\"]?\s*(?::|=>|=|,)\s*[
 #: Literals one of which a line must hold, and the form.
 COMMANDS = (
     (("sshpass",), re.compile(r"\bsshpass\s+-p\s*(?:" + STR + r"|(?P<bare>[^\s'\"]+))")),
-    (("mysql", "maria"), re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb|mysqlimport|mysqlshow)\b[^\n|;]{0,300}?\s-p(?:" + STR + r"|(?P<bare>[^\s'\"]+))")),
-    (("curl", "wget", "http"), re.compile(r"\b(?:curl|wget|http|https)\b[^\n|;]{0,300}?\s(?:-u|--user|--proxy-user|-U)[ =]?\s*['\"]?[^\s:'\"]+:(?:" + STR + r"|(?P<bare>[^\s'\"]+))")),
+    (("mysql", "maria"), re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb|mysqlimport|mysqlshow)\b(?:(?!\b(?:mysql|mysqldump|mysqladmin|mariadb|mysqlimport|mysqlshow)\b)[^\n|;])*?\s-p(?:" + STR + r"|(?P<bare>[^\s'\"]+))")),
+    (("curl", "wget", "http"), re.compile(r"\b(?:curl|wget|http|https)\b(?:(?!\b(?:curl|wget|http|https)\b)[^\n|;])*?\s(?:-u|--user|--proxy-user|-U)[ =]?\s*['\"]?[^\s:'\"]+:(?:" + STR + r"|(?P<bare>[^\s'\"]+))")),
     ((" -",), re.compile(r"\s--?(?:[\w\-]+-)?(?:password|passwd|pass|token|secret|api-key|access-key|secret-key|apikey|passphrase|pw)(?:=|\s+)(?:" + STR + r"|(?P<bare>[^\s'\"\-][^\s'\"]*))")),
-    (("redis-cli",), re.compile(r"\b(?:redis-cli)\b[^\n|;]{0,300}?\s-a\s+(?:" + STR + r"|(?P<bare>[^\s'\"]+))")),
-    (("docker", "podman", "helm", "az ", "smbclient", "ldapsearch", "psql", "PGPASSWORD"), re.compile(r"\b(?:docker|podman|helm|az|smbclient|ldapsearch|psql|PGPASSWORD)\b[^\n|;]{0,300}?\s-(?:p|w)\s+(?:" + STR + r"|(?P<bare>[^\s'\"\-][^\s'\"]*))")),
-    (("ftp", "smbclient", "rclone"), re.compile(r"\b(?:lftp|ncftp|smbclient|rclone|sftp|ftp)\b[^\n|;]{0,300}?\s(?:-u|-U|--user)[ =]?\s*['\"]?[^\s,:%'\"]+[,:%](?:" + STR + r"|(?P<bare>[^\s'\"]+))")),
+    (("redis-cli",), re.compile(r"\b(?:redis-cli)\b(?:(?!\b(?:redis-cli)\b)[^\n|;])*?\s-a\s+(?:" + STR + r"|(?P<bare>[^\s'\"]+))")),
+    (("docker", "podman", "helm", "az ", "smbclient", "ldapsearch", "psql", "PGPASSWORD"), re.compile(r"\b(?:docker|podman|helm|az|smbclient|ldapsearch|psql|PGPASSWORD)\b(?:(?!\b(?:docker|podman|helm|az|smbclient|ldapsearch|psql|PGPASSWORD)\b)[^\n|;])*?\s-(?:p|w)\s+(?:" + STR + r"|(?P<bare>[^\s'\"\-][^\s'\"]*))")),
+    (("ftp", "smbclient", "rclone"), re.compile(r"\b(?:lftp|ncftp|smbclient|rclone|sftp|ftp)\b(?:(?!\b(?:lftp|ncftp|smbclient|rclone|sftp|ftp)\b)[^\n|;])*?\s(?:-u|-U|--user)[ =]?\s*['\"]?[^\s,:%'\"]+[,:%](?:" + STR + r"|(?P<bare>[^\s'\"]+))")),
     (("(",), re.compile(r"\b(?:login|log_in|connect|authenticate|auth|signin|sign_in|logon|bind|simple_bind|set_credentials|setCredentials|basicAuth|basic_auth)\s*\(\s*['\"][\w.@\-]+['\"]\s*,\s*" + STR)),
     ((" with ", " using ", " and "), re.compile(r"(?i)\b(?:log ?in|sign ?in|connect|authenticate)\s+(?:as|with user)\s+\S+\s+(?:with|using|and)\s+(?:the\s+)?(?:password\s+)?(?:" + STR + r"|(?P<bare>[^\s'\"`,;<>()]+))")),
     (("machine",), re.compile(r"\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<bare>\S+)")),
@@ -109,6 +117,18 @@ def sensitive(path: str) -> bool:
     return w[-3:] == ["access", "key", "id"] or w[-2:] == ["keyid", "id"] or "".join(w[-2:]) in SECRET_WORDS and len(w) > 1
 
 
+#: Last parts of a path that only say that here the value stands.
+HOLDERS = frozenset(("value", "val", "default", "current", "data", "text", "string", "content", "plain", "plaintext", "raw", "literal"))
+
+
+def names_secret(path: tuple[str, ...]) -> bool:
+    """Whether a whole key path names a secret: by its last part, or by the one above parts that only hold the value."""
+    parts = [x for k in path for x in re.split(r"[./]", k) if x]
+    while len(parts) > 1 and parts[-1].lower() in HOLDERS:
+        parts.pop()
+    return bool(parts) and sensitive(parts[-1])
+
+
 def placeholder(v: str) -> bool:
     """Whether a value only stands in for one."""
     return bool(PLACEHOLDER.search(v)) or bool(RUN_OF_X.search(v)) and sum(c in "xX" for c in v) > 0.4 * len(v)
@@ -144,6 +164,12 @@ def usable(value: str, quoted: bool, code: bool = False) -> bool:
     return True
 
 
+def app_password(value: str) -> bool:
+    """Four different groups of four letters, as mail services give them out."""
+    v = value.strip()
+    return bool(APP_PASSWORD.fullmatch(v)) and len(set(v.split("-"))) == 4
+
+
 def shaped(value: str) -> bool:
     """Whether a value of a known token shape is real rather than a placeholder."""
     return not placeholder(value) and len(set(value[4:])) >= 6
@@ -179,14 +205,23 @@ NEXT_LINE = re.compile(r"[ \t]*(?:[\\(]|[|>][+-]?)?[ \t]*\r?\n[ \t]+(?:(?:#|//|-
 
 
 class _Reader:
-    """One text's spans, line by line."""
+    """One text's spans: those of its settings, if it is configuration, then line by line."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, path: str | None = None):
         self.text = text
         self.hits: dict[int, list[tuple[int, int]]] = {}
+        self.parsed: set[int] = set()  # where values of parsed settings begin
         self.blind = [m.span() for m in EMBEDDED.finditer(text)] if ";base64," in text else []
         if "PRIVATE KEY" in text:
             self.keys()
+        if form := configs.form_of(text, path):
+            self.configuration(form)
+
+    def configuration(self, form: str) -> None:
+        for keys, a, b, quoted in configs.settings(self.text, form):
+            self.parsed.add(a)
+            if names_secret(keys) or app_password(self.text[a:b]):
+                self.offer((a, b, quoted))
 
     def add(self, parts: list[tuple[int, int]]) -> None:
         if parts[0][0] not in self.hits or parts[-1][1] > self.hits[parts[0][0]][-1][1]:
@@ -260,21 +295,37 @@ class _Reader:
         for m in SHELL_DEFAULT.finditer(text, lo, hi) if "${" in s else ():
             if sensitive(m.group("key")):
                 self.offer(_value(m), lambda x, q: usable(x, True))
-        for literal, pattern in (("(", DEFINE), ("value", FIELD), ("</", ELEMENT)):
+        for literal, pattern in (("(", DEFINE), ("</", ELEMENT)):
             for m in pattern.finditer(text, lo, hi) if literal in s else ():
                 if (v := _value(m)) and (sensitive(m.group("key")) or APP_PASSWORD.fullmatch(text[v[0]:v[1]])):
                     self.offer(v, lambda x, q: usable(x, True))
+        if "value" in s:
+            self.fields(lo, hi)
         self.settings(lo, hi)
 
+    def fields(self, lo: int, hi: int) -> None:
+        """Attributes that name a field, with the next value in the same tag."""
+        text = self.text
+        values = [m for m in FIELD_VALUE_ATTR.finditer(text, lo, hi)]
+        starts, edges = [m.start() for m in values], [m.start() for m in TAG_EDGE.finditer(text, lo, hi)]
+        for m in FIELD_NAME_ATTR.finditer(text, lo, hi) if values else ():
+            i = bisect_left(starts, m.end())
+            if i < len(starts) and bisect_left(edges, m.end()) == bisect_left(edges, starts[i]):
+                v = _value(values[i])
+                if v and (sensitive(m.group("key")) or APP_PASSWORD.fullmatch(text[v[0]:v[1]])):
+                    self.offer(v, lambda x, q: usable(x, True))
+
     def settings(self, lo: int, hi: int) -> None:
         text, at = self.text, lo
         while m := SETTING.search(text, at, hi):
             at = m.end("key") + 1
             v = _value(m)
             if not sensitive(m.group("key")):
-                if v and APP_PASSWORD.fullmatch(text[v[0]:v[1]].strip()) and len(set(text[v[0]:v[1]].split("-"))) == 4:
+                if v and v[0] not in self.parsed and app_password(text[v[0]:v[1]]):
                     self.offer(v)
                 continue
+            if v and v[0] in self.parsed:
+                continue
             if v is None:  # the value stands on the next line
                 if (n := NEXT_LINE.match(text, m.end())) and (v := _value(n)):
                     self.offer(v)
@@ -291,8 +342,8 @@ class _Reader:
                     self.offer((a, a + len(s), False))
 
 
-def find(text: str | None) -> list[list[tuple[int, int]]]:
-    """The usable credentials of a text in order, each a list of spans (its pieces)."""
+def find(text: str | None, path: str | None = None) -> list[list[tuple[int, int]]]:
+    """The usable credentials of a text in order, each a list of spans (its pieces). path: the file's, which tells its format."""
     if not text:
         return []
     low = text.lower()
@@ -305,19 +356,18 @@ def find(text: str | None) -> list[list[tuple[int, int]]]:
             starts.add(at)
             at = low.find("\n", at)
             at = low.find(x, at) if at >= 0 else -1
-    reader, done = None, -1
+    reader, done = _Reader(text, path) if starts else None, -1
     for at in sorted(starts):
         if at < done:
             continue
         lo, hi = text.rfind("\n", 0, at) + 1, text.find("\n", at)
         hi = done = len(text) if hi < 0 else hi
         if QUICK.search(text, lo, hi) or FOUR_BY_FOUR.search(text, lo, hi):
-            reader = reader or _Reader(text)
             reader.line(lo, hi)
     if reader is None:
         if "PRIVATE KEY" not in text:
             return []
-        reader = _Reader(text)
+        reader = _Reader(text, path)
     out: list[list[tuple[int, int]]] = []
     end = -1
     for start in sorted(reader.hits):
@@ -329,37 +379,40 @@ def find(text: str | None) -> list[list[tuple[int, int]]]:
     return out
 
 
-def mask(text: str | None, hits: list[list[tuple[int, int]]] | None = None) -> str | None:
+def mask(text: str | None, path: str | None = None) -> str | None:
     """The text with every piece of every credential replaced by MASK and everything else as it was."""
     if not text:
         return text
-    hits = find(text) if hits is None else hits
+    hits = find(text, path)
     for a, b in sorted((s for parts in hits for s in parts), reverse=True):
         text = text[:a] + MASK + text[b:]
     return text
 
 
-def scan(df: DataFrame, id_col: str = "hit_id", text_col: str = "text") -> DataFrame:
+def scan(df: DataFrame, id_col: str = "hit_id", text_col: str = "text", path_col: str | None = "path") -> DataFrame:
     """(id, line_no, start, length) of each credential: its first line, counted by line feeds, and its offsets."""
     kind = dict(df.dtypes)[id_col]
+    path = F.col(path_col) if path_col in df.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, line, start, length = [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                for parts in find(t):
+            for i, (t, p) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                for parts in find(t, p):
                     at.append(i), line.append(1 + t.count("\n", 0, parts[0][0])), start.append(parts[0][0]), length.append(parts[-1][1] - parts[0][0])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(line, pa.int32()), pa.array(start, pa.int32()), pa.array(length, pa.int32())],
                                              names=["id", "line_no", "start", "length"])
 
-    return (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    return (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), path.alias("p"))
             .mapInArrow(run, f"id {kind}, line_no int, start int, length int").withColumnRenamed("id", id_col))
 
 
-def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", path_col: str | None = "path") -> DataFrame:
     """The table with the credentials of one column masked; all other columns, and the order of columns, unchanged."""
+    path = F.col(path_col) if path_col in df.columns else F.lit(None).cast("string")
+
     @F.pandas_udf("string")
-    def masked(s):
-        return s.map(mask)
+    def masked(s: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([mask(t, q if isinstance(q, str) else None) for t, q in zip(s, p)], dtype=object)
 
-    return df.withColumn(text_col, masked(F.col(text_col)))
+    return df.withColumn(text_col, masked(F.col(text_col), path))
