@@ -1,16 +1,21 @@
 """Generated, minified or vendored source files, and data stored as code.
 
-Every piece of a file is lexed into comments, strings, numbers, names and punctuation and laid out again in a
-canonical form (a line for each statement and brace, long lines wrapped). Comparing both layouts tells three kinds:
-a canonical layout many times longer than the original marks minified text; lines that are nearly all of one shape,
-numbered in sequence, mark generated text; literals that leave hardly any names mark data. Banners in leading
-comments and package directories in the path key tell the rest: written by a program, a third party's copy.
-
-All measures are sums over pieces, so a file is judged from partial sums: no group of pieces is ever gathered.
+Every distinct piece of a file is lexed into comments, strings, numbers, names and punctuation, and its code is emitted
+again in a canonical layout: a line for each statement and brace, indented by depth, one space between words, long
+lines wrapped. The original layout is held against it. A canonical layout many times longer than the original marks
+minified text. Lines that all have the layout of their canonical line, of one shape, and whose first numbers count up,
+are perfectly uniform and mark generated text. Literals that leave hardly any names mark data. What the comments that
+lead a file say of the file itself (a generator's banner, a package's licence) and package directories in the path key
+tell the rest: written by a program, a third party's copy.
+
+A piece that is logged or stored several times is lexed and counted once, by its longest text, since some copies are cut
+short. Measures of pieces are summed by file, so no group of pieces is ever gathered. Comments lead a file as long as no
+piece before them, and nothing before them in their piece, is code.
 
 Defined results: null and empty texts add nothing; a file without any text is judged by its path key; repeated
-pieces weigh as often as they occur, which changes no share; rows whose path is null are left out; documents and
-configuration are no cases unless a banner or the layout says that a program wrote them.
+pieces change nothing; pieces without a number count as one piece of their own text each, and lead no file; rows whose
+path is null are left out; documents and configuration are no cases unless a banner or the layout says that a program
+wrote them.
 """
 
 from __future__ import annotations
@@ -36,11 +41,14 @@ BLOB = re.compile(r"[A-Za-z0-9+/=]{80,}")
 DIGITS = re.compile(r"\d+")
 NAMES = re.compile(r"[^\W\d_]+")
 
-#: What programs write above their output; a person's remark about such files has another wording.
+#: Sentences by which a program says that it wrote the file. They speak of the file itself, so they begin with it, or with what
+#: was done to it; a person's remark about such files has another subject.
+_MADE = r"(?:auto(?:matically)?[- ]?|machine[- ]?)(?:generated|written|created|produced|made|built)"
+_THIS = r"(?:(?:this|the|these) )?(?:(?:whole|entire|following) )?(?:file|code|document|source|module|script|class|contents?|stubs?|bindings?)(?: (?:file|code))?"
 BANNER = re.compile(
-    r"(?i)@generated\b|<auto-?generated|\bauto-?generated (?:file|code|by|from|at|on|using|with)|\bautomatically (?:generated|created|produced) (?:by|from|using|with)|\bcreated from the .{1,60}\b(?:schema|template)"
-    r"|\bmachine-(?:written|generated|made)\b|\bedits? (?:\w+ ){0,3}(?:lost|overwritten)\b|\b(?:file|code|document|source|module|script|class) (?:(?:is|was|has been) )?(?:auto-?|automatically )?generated\b|\bgenerated (?:automatically|by|from|using|with|on (?:build|date)?)\b|\bproduced from .{1,80} by\b|\bchanges? (?:\w+ ){0,4}will be (?:lost|overwritten)|^\W*do not (?:edit|change|modify)\b|\bdo not (?:edit|modify|change)(?: (?:this file|by hand|manually|directly))")
-PERSON = re.compile(r"(?i)\b(?:reads?|writes?|replaces?|emits?|merges?|parses?|loads?|checks?|builds?|lists?|skips?|compares?|handles?|strips?|adds?|inserts?|prints?|finds?|removes?|detects?|mentions?|used to|no longer|kept by hand|by hand|last year|served from|elsewhere)\b.*\b(?:generated|do not edit|minified|banner|vendored)|\b(?:generated|minified)\b.*\b(?:kept by hand|by a person|last year|elsewhere)\b")
+    rf"(?i)(?:^|(?<=[.;:!,>]) +| [-|] )[^\w@]*(?:@generated\b|{_MADE}\b|{_THIS},? (?:(?:is|are|was|were|has been|have been) )?(?:{_MADE}|generated|(?:produced|created|built) (?:by|from|with|using) (?:the |a |an )?[\w./\- ]*\b(?:compiler|generator|build|tool|schema|template|program|machine|script)\b)"
+    r"|generated (?:automatically|by|from|using|with|on|at)\b|(?:produced|created) from (?:the )?.{1,80}\b(?:schema|template|by)\b|do not (?:edit|change|modify)\b|please do not (?:edit|change|modify)\b"
+    r"|(?:any |all |manual |local |hand |your )*(?:changes?|edits?|modifications?) (?:\w+ ){0,6}(?:are|is|be|get) (?:lost|overwritten)\b)")
 LICENCE = re.compile(r"(?i)\bv?\d+\.\d+(?:\.\d+)?\b.{0,80}(?:\(c\)|©|copyright).{0,120}\blicen[cs]e|(?:\(c\)|©|copyright).{0,120}\breleased under\b|@license\b|\bSPDX-License-Identifier:|\bLicensed under the\b|Permission is hereby granted, free of charge")
 PACKAGE_DIR = re.compile(r"(?i)(?:^|/)(?:node_modules|bower_components|jspm_packages|site-packages|dist-packages|vendor|vendored|_vendor|third[-_]?party|libraries|deps|godeps|pods)/[^/]+/.*[^/]$")
 PACKAGE_TOP = re.compile(r"(?i)(?:^|/)(?:node_modules|bower_components|jspm_packages|site-packages|dist-packages)/")
@@ -48,66 +56,100 @@ VERSIONED = re.compile(r"(?i)/[a-z][a-z\-]*[a-z][-.]v?\d+\.\d+\.\d+[-.][^/]*$")
 MADE_NAME = re.compile(r"(?i)\.(?:min|bundle|chunk)\.(?:js|css|mjs)$|\.(?:generated|autogen|gen)\.[a-z]+$|\.pb\.[a-z]+$|\.designer\.cs$|(?:^|/)(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|composer\.lock|Pipfile\.lock|Cargo\.lock|go\.sum)$")
 MADE_DIR = re.compile(r"(?i)(?:^|/)(?:generated|__generated__|autogen|gen|generated-sources)/")
 
-MEASURES = ("chars", "lines", "code_lines", "canonical", "names", "string_chars", "number_chars", "blob_chars", "comment_chars", "serial_lines", "banner", "licence")
-FLAGS = ("banner", "licence")
+SUMS = ("chars", "lines", "code_lines", "canonical", "names", "string_chars", "number_chars", "blob_chars", "comment_chars", "serial_lines")
+FLAGS = ("code", "banner", "licence")  # whether the piece has code, and what its leading comments say
 NOTE = re.compile(r'(?i)"(?:_comment|//|_|\$comment|comment|_note|generated|_generated)"\s*:\s*"([^"\n]*)')
-
-
-def serial(lines: list[str]) -> int:
-    """Lines of shapes that come three times or more with numbers counting up."""
+#: What may stand before a file's leading comments.
+PREAMBLE = re.compile(r"""<\?(?:php|xml[^>\n]*\?>)?|<!doctype[^>\n]*>|#![^\n]*|package\s+[\w.]+\s*;?|['"]use strict['"]\s*;?""", re.I)
+STAR = re.compile(r"\*/")
+
+
+def emit(tokens: list[tuple[str, str]]) -> list[str]:
+    """The canonical layout of tokens (kind, text) without comments: indented by depth, a line for each statement and brace."""
+    out: list[str] = []
+    line, width, depth = "", 0, 0
+    for kind, t in tokens:
+        if kind == "n" or t == "}" or width and width + len(t) > WRAP:
+            if line:
+                out.append("  " * depth + line)
+            line, width = "", 0
+            if kind == "n":
+                continue
+            depth -= t == "}" and depth > 0
+        if kind in "wd" and line and (line[-1].isalnum() or line[-1] in "_$"):
+            line += " "
+        line += t
+        width += len(t)
+        if kind == "b":
+            out.append("  " * depth + line)
+            line, width = "", 0
+            depth += t == "{"
+    return out + ["  " * depth + line] * bool(line)
+
+
+def uniform(lines: list[str], layouts: list[str]) -> int:
+    """Lines of perfect uniformity: of a layout that comes three times or more, with first numbers that count up."""
     seen: dict[str, list] = {}
-    for s in lines:
+    for s, layout in zip(lines, layouts):
         if not (n := DIGITS.search(s)):
             continue  # nothing to count by
-        shape = NAMES.sub("a", DIGITS.sub("9", s.strip()))
         n = int(n.group()) if n.end() - n.start() < 12 else None
-        x = seen.setdefault(shape, [0, 0, None])
+        x = seen.setdefault(layout, [0, 0, None])
         x[0] += 1
         x[1] += n is not None and x[2] is not None and n == x[2] + 1
         x[2] = n
     return sum(c for c, up, _ in seen.values() if c >= 3 and 2 * up >= c)
 
 
-def measure(text: str, ext: str) -> tuple[int, ...]:
-    """The measures of one piece, in the order of MEASURES."""
-    rows = [s for s in text.split("\n") if s and not s.isspace()]
-    names = strings = numbers = comment = canonical = width = 0
+def measure(text: str, ext: str, first: bool = True) -> tuple[int, ...]:
+    """The measures of one piece, in the order of SUMS and FLAGS. first: no piece before it, so no comment reaches into it."""
+    begin = 0
+    if not first and (m := STAR.search(text)) and text.find("/*", 0, m.start()) < 0:
+        begin = m.end()  # the end of a comment that began in an earlier piece
+    names = strings = numbers = 0
+    comment, past, code = begin, begin, False
+    if not first and (end := text.find("\n", begin) + 1) and NOTE_LINE.match(text, end):
+        past = end  # the rest of a line among comments
     head: list[str] = []
-    for m in TOKEN.finditer(text):
-        start, end = m.span()
-        kind, size = m.lastgroup, end - start
-        if kind == "w":
-            names += 1
-            width += size + 1
-        elif kind == "p":
-            width += size
-        elif kind == "n":
-            if width:
-                canonical += 1 + width // WRAP
-                width = 0
-        elif kind == "b":
-            canonical += 1 + width // WRAP
-            width = 0
-        elif kind == "s":
-            strings += size
-            width += size
-        elif kind == "d":
-            numbers += size
-            width += size + 1
+    tokens: list[tuple[str, str]] = []
+    layouts: list[list[str]] = [[]]  # by original line: its tokens' kinds with the spaces before them
+    at = begin
+    for m in TOKEN.finditer(text, begin):
+        kind, t, start = m.lastgroup, m.group(), m.start()
+        if kind == "n":
+            tokens.append((kind, t))
+            layouts.append([])
+        elif kind == "c":
+            comment += len(t)
+            if not code:
+                head.append(t)
+            layouts += [[] for _ in range(t.count("\n"))]
         else:
-            comment += size
-            if start < 800:
-                head.append(m.group())
-    if width:
-        canonical += 1 + width // WRAP
-    bare = [s for s in rows if not s.lstrip().startswith(("#", "//", "--", "/*", "*", "<!--"))]
+            if not code and start >= past:
+                p = PREAMBLE.match(text, start)
+                code, past = p is None, p.end() if p else past
+            tokens.append((kind, t))
+            layouts[-1].append(" " * (start - at) + (NAMES.sub("a", DIGITS.sub("9", t)) if kind == "s" else SYMBOLS.get(kind, t)))
+            if kind == "w":
+                names += 1
+            elif kind == "s":
+                strings += len(t)
+                layouts += [[] for _ in range(t.count("\n"))]
+            elif kind == "d":
+                numbers += len(t)
+        at = m.end()
+    rows = [(s, x) for s, x in zip(text[begin:].split("\n"), layouts) if s and not s.isspace()]
+    bare = [(s, "".join(x)) for s, x in rows if not s.lstrip().startswith(NOTES)]
     if ext == "json":
-        head += NOTE.findall(text[:1200])
+        head += NOTE.findall(text)
     said = [s for h in head for s in h.split("\n")]
-    banner = any(BANNER.search(s) and not PERSON.search(s) for s in said)
-    licence = any(LICENCE.search(s) for s in said)
-    return (len(text), len(rows), len(bare), canonical, names, strings, numbers, sum(m.end() - m.start() for m in BLOB.finditer(text)), comment,
-            serial(bare), int(banner), int(licence))
+    return (len(text), len(rows), len(bare), len(emit(tokens)), names, strings, numbers, sum(m.end() - m.start() for m in BLOB.finditer(text)), comment,
+            uniform([s for s, _ in bare], [x for _, x in bare]), int(code), int(any(map(BANNER.search, said))), int(any(map(LICENCE.search, said))))
+
+
+SYMBOLS = {"w": "a", "d": "9"}
+NOTES = ("#", "//", "--", "/*", "*", "<!--")
+NOTE_LINE = re.compile(r"\s*(?:#|//|--|/\*|\*|<!--)")
 
 
 def path_key(repo: Column, path: Column) -> Column:
@@ -116,20 +158,30 @@ def path_key(repo: Column, path: Column) -> Column:
 
 
 def measures(pieces: DataFrame) -> DataFrame:
-    """Measures of pieces (path_key, text, listed) summed by file; map-side sums keep a hot file to a row a task."""
-    names = ["path_key", "listed", *MEASURES]
+    """Measures of pieces (path_key, chunk, text, listed) summed by file.
+
+    Equal rows are dropped before lexing and copies that were cut short after it; of a hot file, partial aggregates leave
+    each distinct piece once a task.
+    """
+    names = ["path_key", "chunk", "listed", *SUMS, *FLAGS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, cols = b.column(0).to_pylist(), [[] for _ in MEASURES]
-            for k, t in zip(keys, b.column(1).to_pylist()):
-                for c, v in zip(cols, measure(t, k.rpartition(".")[2].lower()) if t else (0,) * len(MEASURES)):
+            keys, chunks, texts = (b.column(i).to_pylist() for i in range(3))
+            cols: list[list[int]] = [[] for _ in (*SUMS, *FLAGS)]
+            for k, n, t in zip(keys, chunks, texts):
+                for c, v in zip(cols, measure(t, k.rpartition(".")[2].lower(), n == 0) if t else (0,) * len(cols)):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, pa.int64()) for c in cols]], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *[pa.array(c, pa.int64()) for c in cols]], names=names)
 
-    src = pieces.select("path_key", "text", "listed").where(F.col("path_key").isNotNull())
-    rows = src.mapInArrow(run, "path_key string, listed int, " + ", ".join(f"{m} long" for m in MEASURES))
-    return rows.groupBy("path_key").agg(F.max("listed").alias("listed"), *[(F.max if m in FLAGS else F.sum)(m).alias(m) for m in MEASURES])
+    src = pieces.where(F.col("path_key").isNotNull()).groupBy("path_key", F.col("chunk").cast("long").alias("chunk"), "text").agg(F.max("listed").alias("listed"))
+    rows = src.mapInArrow(run, "path_key string, chunk long, listed int, " + ", ".join(f"{m} long" for m in (*SUMS, *FLAGS)))
+    whole = rows.groupBy("path_key", "chunk", F.when(F.col("chunk").isNull(), F.monotonically_increasing_id()).alias("__own")).agg(
+        F.max("listed").alias("listed"), F.max(F.struct(*SUMS, *FLAGS)).alias("m")).select("path_key", "chunk", "listed", "m.*")
+    led = F.min(F.when(F.col("code") == 1, F.col("chunk")))
+    first = {m: F.min(F.when(F.col(m) == 1, F.col("chunk"))) for m in FLAGS[1:]}
+    files = whole.groupBy("path_key").agg(F.max("listed").alias("listed"), *[F.sum(m).alias(m) for m in SUMS], led.alias("__code"), *[e.alias(f"__{m}") for m, e in first.items()])
+    return files.select("path_key", "listed", *SUMS, *[(F.col(f"__{m}").isNotNull() & (F.col(f"__{m}") <= F.coalesce("__code", f"__{m}"))).cast("int").alias(m) for m in first])
 
 
 def judge(files: DataFrame) -> DataFrame:
@@ -151,9 +203,9 @@ def judge(files: DataFrame) -> DataFrame:
 
 
 def pieces_of(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(path_key, text, listed) of all pieces of either table; listed is 1 for hits."""
-    h = hits.select(path_key(F.col("repo"), F.col("path")).alias("path_key"), "text", F.lit(1).alias("listed"))
-    return h.unionByName(chunks.select(F.col("path").alias("path_key"), "text", F.lit(0).alias("listed")))
+    """(path_key, chunk, text, listed) of all pieces of either table; listed is 1 for hits."""
+    h = hits.select(path_key(F.col("repo"), F.col("path")).alias("path_key"), "chunk", "text", F.lit(1).alias("listed"))
+    return h.unionByName(chunks.select(F.col("path").alias("path_key"), "chunk", "text", F.lit(0).alias("listed")))
 
 
 def judged_files(hits: DataFrame, chunks: DataFrame) -> DataFrame:
