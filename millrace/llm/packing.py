@@ -42,24 +42,9 @@ def encoding(path: str):
     return _encodings[path]
 
 
-MOST_AT_ONCE = 20_000  # code points; an unbroken text beyond that is measured in parts, since merging is quadratic in a run's length
-
-
 def count_tokens(text: str, path: str) -> int:
-    """Tokens of a text; runs without white space longer than MOST_AT_ONCE are measured part by part."""
-    enc = encoding(path)
-    if len(text) <= MOST_AT_ONCE:
-        return len(enc.encode_ordinary(text))
-    n = i = 0
-    while i < len(text):
-        j = min(i + MOST_AT_ONCE, len(text))
-        if j < len(text):
-            k = text.rfind("\n", i + MOST_AT_ONCE // 2, j)
-            k = k if k > 0 else text.rfind(" ", i + MOST_AT_ONCE // 2, j)
-            j = k if k > 0 else j
-        n += len(enc.encode_ordinary(text[i:j]))
-        i = j
-    return n
+    """Tokens of a whole text."""
+    return len(encoding(path).encode_ordinary(text))
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:

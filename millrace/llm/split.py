@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 LIMIT, OVERLAP = 1200, 200
 PREFIX = r"^\[Repo: [^\n\]]*\]\r?\n"
@@ -87,38 +88,44 @@ def pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list
     return out
 
 
+def _cutter(limit: int, overlap: int) -> Callable[[Column], Column]:
+    @F.pandas_udf("array<struct<text:string,prefix_len:int,overlap_len:int>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [{"text": a, "prefix_len": b, "overlap_len": c} for a, b, c in pieces(t, limit, overlap)] for t in texts])
+
+    return lambda text: cut(F.when(F.length(text) > limit, text))  # only texts over the limit travel to Python
+
+
 def split_oversized(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, file_cols: tuple[str, ...] = ("collection", "path"),
                     index_col: str = "chunk", id_col: str = "id", text_col: str = "text", keep: tuple[str, ...] = ("repo", "kind", "lang")) -> DataFrame:
     """Every item of the table as pieces within the limit, numbered anew from 0 within the file.
 
     Columns: the file's, `source_id`, those kept, `source_chunk`, `piece`, `n_pieces`, `prefix_len`, `overlap_len`,
-    `text` and the new `chunk`. Only texts over the limit travel to Python. The numbering is a prefix sum on two
-    levels (blocks of 1,024 source indices, then rows within a block), so no file, however large, is one window.
+    `text` and the new `chunk`. The numbering is a prefix sum on two levels (blocks of 1,024 source indices, then rows
+    within a block), so no file, however large, is one window. Texts are shuffled once, by file and block; the sums of
+    the blocks are taken from counts and hashes alone.
     """
-    schema = "array<struct<text:string,prefix_len:int,overlap_len:int>>"
-
-    @F.pandas_udf(schema)
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [{"text": a, "prefix_len": b, "overlap_len": c} for a, b, c in pieces(t, limit, overlap)] for t in texts])
-
+    cut = _cutter(limit, overlap)
     cols = dict.fromkeys((*file_cols, *keep))
-    rows = df.select(*cols, F.col(id_col).alias("source_id"), F.col(index_col).alias("source_chunk"), F.col(text_col).alias("__text"))
-    rows = rows.dropDuplicates([*file_cols, "source_id", "source_chunk", "__text"])
+    file = F.struct(*[F.col(f"`{c}`") for c in file_cols])  # a struct is never null, its nulls are equal
+    block = F.floor(F.coalesce(F.col("source_chunk"), F.lit(0)) / 1024)
     whole = F.array(F.struct(F.col("__text").alias("text"), F.lit(0).alias("prefix_len"), F.lit(0).alias("overlap_len")))
-    rows = rows.withColumn("__pieces", F.coalesce(cut(F.when(F.length("__text") > limit, F.col("__text"))), whole)).withColumn("n_pieces", F.size("__pieces"))
-    rows = rows.withColumn("__block", F.floor(F.coalesce(F.col("source_chunk"), F.lit(0)) / 1024))
-    by_block = Window.partitionBy(*file_cols).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (rows.groupBy(*file_cols, "__block").agg(F.sum("n_pieces").alias("__n"))
-              .select(*file_cols, "__block", F.coalesce(F.sum("__n").over(by_block), F.lit(0)).alias("__start")))
-    within = Window.partitionBy(*file_cols, "__block").orderBy(F.col("source_chunk").asc_nulls_first(), "source_id", "__text").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (rows.withColumn("__before", F.coalesce(F.sum("n_pieces").over(within), F.lit(0)))
-              .join(starts.select(*[F.col(c).alias(f"__s_{c}") for c in (*file_cols, "__block")], "__start"),
-                    [F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in (*file_cols, "__block")], "left"))
+    rows = (df.select(*[F.col(f"`{c}`") for c in cols], F.col(id_col).alias("source_id"), F.col(index_col).alias("source_chunk"), F.col(text_col).alias("__text"))
+            .withColumn("__key", F.struct(file.alias("f"), block.alias("b"))).withColumn("__pieces", F.coalesce(cut(F.col("__text")), whole)).withColumn("n_pieces", F.size("__pieces")))
+    own = ["__key", "source_id", "source_chunk"]
+    sizes = rows.select(*own, F.md5("__text").alias("__h"), "n_pieces").distinct().groupBy("__key").agg(F.sum("n_pieces").alias("n"))
+    by_block = Window.partitionBy("__key.f").orderBy("__key.b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__key", F.coalesce(F.sum("n").over(by_block), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("__key").orderBy(F.col("source_chunk").asc_nulls_first(), "source_id", "__pieces")
+    same = F.lag(F.struct("source_chunk", "source_id", "__pieces")).over(within) == F.struct("source_chunk", "source_id", "__pieces")
+    once = rows.drop("__text").withColumn("__again", F.coalesce(same, F.lit(False))).where(~F.col("__again"))
+    placed = once.withColumn("__before", F.coalesce(F.sum("n_pieces").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(starts, "__key")
     return placed.select(*cols, "source_id", "source_chunk", "n_pieces", "__start", "__before", F.posexplode("__pieces").alias("piece", "__p")).select(
         *cols, "source_id", "source_chunk", "piece", "n_pieces", "__p.prefix_len", "__p.overlap_len", "__p.text",
         (F.col("__start") + F.col("__before") + F.col("piece")).alias("chunk"))
 
 
-def oversized_ids(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Ids of the items that came out of the splitter in more than one piece."""
-    return split_oversized(df, limit, overlap).where("n_pieces > 1 AND piece = 0").select(F.col("source_id").alias("id")).distinct()
+def oversized_ids(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """Ids of the items that come out of the splitter in more than one piece; nothing but ids is shuffled."""
+    n = F.size(_cutter(limit, overlap)(F.col(text_col)))
+    return df.where(F.length(text_col) > limit).withColumn("__n", n).where("__n > 1").select(F.col(id_col).alias("id")).distinct()
