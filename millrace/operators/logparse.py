@@ -169,7 +169,7 @@ def _bracket(s: str, i: int) -> tuple[int, str] | None:
     """Content of [...] at i."""
     if s[i:i + 1] != "[":
         return None
-    j = s.find("]", i, i + 120)
+    j = s.find("]", i)
     return (j + 1, s[i + 1:j]) if j > 0 else None
 
 
@@ -202,8 +202,10 @@ def _after_date(s: str, i: int, loose: bool) -> tuple[str, str, int]:
         if s[e:e + 1] == "|" and (lv := level_of(w)):
             j = _skip(s, e + 1)
             e, n = _name(s, j)
-            k = s.find(" - ", e, e + 120)
-            return lv, n, k + 3 if k >= 0 else e
+            k = e
+            while k < len(s) and s[k] != " ":  # :function:line
+                k += 1
+            return lv, n, k + 3 if s[k:k + 3] == " - " else e
         return "", "", i
     if c.isdecimal():  # a thread id before brackets
         j = i
@@ -425,8 +427,9 @@ def header(s: str, ref: datetime | None) -> tuple[str, str, str, str] | None:
                 i = b[0]
             if s[i:i + 1] == ":":
                 i = _skip(s, i + 1)
-                if s[i:i + 1] == "<" and (j := s.find(">", i, i + 14)) > 0 and level_of(s[i + 1:j]):
-                    lv, i = level_of(s[i + 1:j]), j + 1
+                e, w = _word(s, i + 1)
+                if s[i:i + 1] == "<" and s[e:e + 1] == ">" and level_of(w):
+                    lv, i = level_of(w), e + 1
                 else:
                     e, w = _word(s, i)
                     if level_of(w) and s[e:e + 1] == ":":
@@ -442,8 +445,10 @@ def header(s: str, ref: datetime | None) -> tuple[str, str, str, str] | None:
             if n and s[k:k + 1] == ":":
                 return "", lv, n, s[k + 1:].lstrip()
             return None
-        eq = s.find("=", 0, 40)
-        if eq > 0 and " " not in s[:eq]:
+        e = 0
+        while e < len(s) and (s[e] in NAME or s[e] == "@"):
+            e += 1
+        if s[e:e + 1] == "=":
             return _record(_pairs(s))
     return None
 

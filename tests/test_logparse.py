@@ -58,3 +58,14 @@ def test_frame(spark):
     rows = L.parse_logs(df).collect()
     assert sorted(tuple(r) for r in rows) == [(1, "raw_stderr_tail", 1, "", "ERROR", "a", "b")] * 2
     assert L.parse_logs(df.limit(0)).count() == 0
+
+
+def test_heads_of_any_length():
+    key, thread, fn = "a" * 60, "t" * 200, "<function>" * 30
+    at = datetime(2026, 1, 2)
+    assert L.header(f"{key}=1 ts=2026-01-01T10:00:00Z level=error logger=x msg=y", at) == ("2026-01-01 10:00:00", "ERROR", "x", "y")
+    assert L.header(f"[2026-01-01 10:00:00] [ERROR] [{thread}] gone", at) == ("2026-01-01 10:00:00", "ERROR", thread, "gone")
+    assert L.header(f"2026-01-01 10:00:00 | INFO | mod:{fn}:12 - a - b", at) == ("2026-01-01 10:00:00", "INFO", "mod", "a - b")
+    assert L.header("2026-01-01 10:00:00 | INFO | mod says a - b", at)[2:] == ("mod", "says a - b")
+    for s in ("[" * 100_000, "a=" * 100_000, "a" * 300_000, "2026-01-01 10:00:00 " + "[x " * 50_000, "2026-01-01 10:00:00 | INFO | " + "m:" * 100_000):
+        L.header(s, at)
