@@ -1,7 +1,8 @@
-"""Retrieval: exact vector and lexical top-k, rank fusion, context selection, recall.
+"""Retrieval: exact vector and lexical top-k, rank fusion, hybrid retrieval, context selection, recall.
 
-A query set is held against all rows in blocks: each block of queries is broadcast once, every task keeps the best k of
-its own rows for each query, and only those cross the shuffle. No pairs of query and row are ever materialised.
+A query set is held against all rows in blocks: each block of at most BLOCK_QUERIES queries is broadcast once, every
+task keeps the best k of its own rows for each query, and only those cross the shuffle. No pairs of query and row are
+ever materialised beyond a slice of SLICE scores; several blocks follow one after the other.
 """
 
 from __future__ import annotations
@@ -10,10 +11,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from millrace.functions import text as T
+from millrace.operators.blocks import each_block
+from millrace.session import cut_lineage
 
 # Retrieval constants.
 TOP_K, LEXICAL_K, RRF_K, VECTOR_WEIGHT = 8, 24, 60, 0.7
@@ -28,7 +33,9 @@ DATABASE = r"(?iU)\b(sql|schema|mysql|table|database|column|migration|ddl)\b"
 ROUTES = {"discrepancy": ("discrepancies", "docs", "repos"), "incident": ("playbooks", "docs", "repos"), "general": ("repos", "docs")}
 
 BLOCK_QUERIES = 2048
+SLICE = 1 << 21  # scores computed at once
 DIGITS = 6
+DIMENSIONS = 64
 
 
 # --- routing ---------------------------------------------------------------------------------------------------------
@@ -60,29 +67,74 @@ def _best(found: DataFrame, keys: list[str], order: list[Column], k: int) -> Dat
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "vec_id", vec_col: str = "embedding", skip_self: bool = True) -> DataFrame:
+class _Best:
+    """The k best rows a task has seen for each of its queries: least value first, smaller ids first among equals."""
+
+    def __init__(self, queries: int, k: int):
+        self.n, self.k, self.held = queries, k, 0
+        self.worst = np.full(queries, np.inf)  # what a further row must not exceed
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, values: np.ndarray, ids: np.ndarray) -> None:
+        """values: queries x rows, infinite where a row is none of a query's."""
+        q, d = np.nonzero((values <= self.worst[:, None]) & (values < np.inf))
+        if len(q):
+            self.parts.append((q, values[q, d], ids[d]))
+            self.held += len(q)
+            if self.held > max(SLICE >> 3, 4 * self.n * self.k):
+                self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, value, id) of the best so far, in order."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        q, v, i = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((np.unique(i, return_inverse=True)[1], v, q))
+        q, v, i = q[order], v[order], i[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        q, v, i, place = q[keep], v[keep], i[keep], place[keep]
+        self.worst[q[place == self.k - 1]] = v[place == self.k - 1]
+        self.parts, self.held = [(q, v, i)], len(q)
+        return q, v, i
+
+
+def _codes(scopes: list, known: dict) -> np.ndarray:
+    """Numbers of scopes: -2 for none, -1 for one that no query has."""
+    return np.array([-2 if x is None else known.get(x, -1) for x in scopes], np.int64)
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "vec_id", vec_col: str = "embedding", skip_self: bool = True,
+                query_id: str | None = None, group: str | None = None, scope: str | None = None) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest by cosine distance, rounded to DIGITS, smaller ids first among equals.
 
-    Null, empty and zero vectors, and those of another length than the query, have no distance and are not listed.
+    group: a column of the vectors; the k nearest are listed for each of its values, which is a further column of the
+    result. scope: a column of both tables; a row is seen by the queries of its own scope and by those without one, a
+    row without a scope by all. Null, empty and zero vectors, and those of another length than the query, have no
+    distance and are not listed.
     """
-    kind, out = dict(vectors.dtypes)[id_col], None
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.size("v") > 0)
-
-    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    query_id = query_id or id_col
+    kinds, out_group = (dict(queries.dtypes)[query_id], dict(vectors.dtypes)[id_col]), [] if group is None else [group]
+    none = F.lit(None).cast("string")
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), (none if group is None else F.col(group)).alias("g"), (none if scope is None else F.col(scope)).alias("s")).where(F.size("v") > 0)
+    asked = queries.select(F.col(query_id).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), (none if scope is None else F.col(scope)).alias("s")).where(F.size("v") > 0)
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, g string, distance double"
+
+    def blocks() -> Iterator[tuple]:
         part: list = []
-        for r in queries.select(id_col, F.col(vec_col).cast("array<double>")).where(F.size(vec_col) > 0).toLocalIterator():
+        for r in asked.toLocalIterator():
             part.append(r)
             if len(part) == BLOCK_QUERIES:
                 yield from _by_length(part)
                 part = []
         yield from _by_length(part)
 
-    for ids, q in blocks():
-        sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            best: list = [None] * len(ids)
+    def apply(sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q, scopes = sent.value
+            known = {x: i for i, x in enumerate(dict.fromkeys(s for s in scopes if s is not None))}
+            mine = _codes(scopes, known)[:, None]
+            best: dict = {}
             for b in batches:
                 col = b.column(1)
                 sizes = np.diff(col.offsets.to_numpy())
@@ -91,41 +143,54 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, id_col:
                     continue
                 v = np.array(col.take(pa.array(ok)).flatten()).reshape(len(ok), -1)
                 keep = np.isfinite(v).all(1) & ((v * v).sum(1) > 0)
-                v, at = v[keep], np.array(b.column(0))[ok[keep]]
-                d = np.round(1 - q @ (v / np.sqrt((v * v).sum(1, keepdims=True))).T, DIGITS)
-                for i in range(len(ids)):
-                    x, y = d[i], at
-                    if skip_self:
-                        x, y = x[y != ids[i]], y[y != ids[i]]
-                    if best[i] is not None:
-                        x, y = np.concatenate([best[i][0], x]), np.concatenate([best[i][1], y])
-                    if len(x) > k:
-                        near = x <= np.partition(x, k - 1)[k - 1]
-                        x, y = x[near], y[near]
-                        order = np.lexsort((y, x))[:k]
-                        x, y = x[order], y[order]
-                    best[i] = (x, y)
-            hit = [i for i, b in enumerate(best) if b is not None]
-            if hit:
-                n = [len(best[i][0]) for i in hit]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[hit], n)), pa.array(np.concatenate([best[i][1] for i in hit])), pa.array(np.concatenate([best[i][0] for i in hit]))], names=["query_id", "id", "distance"])
-
-        part = rows.mapInArrow(run, f"query_id {kind}, id {kind}, distance double")
-        out = part if out is None else out.unionByName(part)
+                v, at = v[keep], ok[keep]
+                v = v / np.sqrt((v * v).sum(1, keepdims=True))
+                who, groups = np.array(b.column(0).take(pa.array(at)).to_pylist()), np.array(["" if x is None else x for x in b.column(2).take(pa.array(at)).to_pylist()])
+                theirs = _codes(b.column(3).take(pa.array(at)).to_pylist(), known)
+                for g in np.unique(groups):
+                    of = np.flatnonzero(groups == g)
+                    for a in range(0, len(of), max(1, SLICE // len(ids))):
+                        x = of[a:a + max(1, SLICE // len(ids))]
+                        d = np.round(1 - q @ v[x].T, DIGITS)
+                        if scope is not None:
+                            d[(mine != -2) & (theirs[x] != -2) & (mine != theirs[x])] = np.inf
+                        if skip_self:
+                            d[ids[:, None] == who[x]] = np.inf
+                        best.setdefault(str(g), _Best(len(ids), k)).add(d, who[x])
+            for g, found in best.items():
+                i, d, who = found.cut()
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i].tolist()), pa.array(who.tolist()), pa.array([g] * len(i)), pa.array(d)], names=["query_id", "id", "g", "distance"])
+
+        return rows.mapInArrow(run, schema)
+
+    out = each_block(vectors.sparkSession, blocks(), apply)
     if out is None:
-        out = vectors.sparkSession.createDataFrame([], f"query_id {kind}, id {kind}, distance double")
-    return _best(out, ["query_id"], [F.col("distance"), F.col("id")], k)
+        out = vectors.sparkSession.createDataFrame([], schema)
+    out = out.drop("g") if group is None else out.withColumnRenamed("g", group)
+    return _best(out, ["query_id", *out_group], [F.col("distance"), F.col("id")], k)
 
 
-def _by_length(part: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query vectors of unit length, those of equal dimension together."""
+def _by_length(part: list) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """Ids, vectors of unit length and scopes of queries, those of equal dimension together."""
     groups: dict[int, list] = {}
-    for i, v in part:
+    for i, v, s in part:
         if all(x is not None for x in v) and any(v):
-            groups.setdefault(len(v), []).append((i, v))
+            groups.setdefault(len(v), []).append((i, v, s))
     for g in groups.values():
-        q = np.array([v for _, v in g])
-        yield np.array([i for i, _ in g]), q / np.sqrt((q * q).sum(1, keepdims=True))
+        q = np.array([v for _, v, _ in g])
+        yield np.array([i for i, _, _ in g]), q / np.sqrt((q * q).sum(1, keepdims=True)), [s for _, _, s in g]
+
+
+def hash_embedding(text: Column | str, dimensions: int = DIMENSIONS) -> Column:
+    """array<double>: counts of a text's words by the hash of the word; stands in where no embedding is stored."""
+    at = F.transform(T.tokens(text), lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % dimensions))
+
+    @F.pandas_udf("array<double>")
+    def counts(buckets: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else np.bincount(np.asarray(b, np.int64), minlength=dimensions).astype(float) for b in buckets])
+
+    return counts(at)
 
 
 def corpus_stats(corpus: DataFrame, group: str = "collection", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -141,58 +206,86 @@ def corpus_stats(corpus: DataFrame, group: str = "collection", text: str = "text
 
 
 def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = LEXICAL_K, id_col: str = "id", query_id: str = "item_id", query_text: str = "query", group: str = "collection", text: str = "text") -> DataFrame:
-    """(query_id, collection, id, score, rank): the k best by Okapi BM25 within each collection, scores above 0 only."""
+    """(query_id, collection, id, score, rank): the k best by Okapi BM25 within each collection, scores above 0 only.
+
+    Statistics cover the whole corpus; of its terms only those of the queries are kept. A block's queries are sent as
+    postings, a list of queries and weights a term, so their size is that of the queries themselves.
+    """
     spark = corpus.sparkSession
-    asked = [(r[0], Counter(r[1])) for r in queries.select(query_id, T.tokens(F.coalesce(query_text, F.lit("")))).toLocalIterator()]
     kinds = dict(corpus.dtypes)[id_col], dict(queries.dtypes)[query_id]
     schema = f"{group} string, query_id {kinds[1]}, id {kinds[0]}, score double"
     docs, terms = corpus_stats(corpus, group, text)
-    avgdl = {r[group]: r["avgdl"] for r in docs.select(group, "avgdl").collect()}  # one row a collection
-    rows, out = corpus.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(text).alias("t")).where(F.col("t") != ""), None
-    for at in range(0, len(asked), BLOCK_QUERIES):
-        block = asked[at:at + BLOCK_QUERIES]
-        vocabulary = sorted({t for _, c in block for t in c})
-        wanted = spark.createDataFrame([(t,) for t in vocabulary], "term string")
-        idf = {(r[0], r[1]): r[2] for r in terms.join(F.broadcast(wanted), "term").select(group, "term", "idf").collect()}  # the block's words only
-        place = {t: i for i, t in enumerate(vocabulary)}
-        weights = {g: np.zeros((len(vocabulary), len(block))) for g in avgdl}
-        for j, (_, c) in enumerate(block):
-            for t, n in c.items():
-                for g in avgdl:
-                    weights[g][place[t], j] = n * idf.get((g, t), 0.0)
-        sent = spark.sparkContext.broadcast((place, weights, avgdl, [q for q, _ in block]))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            place, weights, avgdl, ids = sent.value
-            best: dict[str, tuple[np.ndarray, list]] = {}
+    asked = queries.select(F.col(query_id).alias("q"), T.tokens(F.coalesce(query_text, F.lit(""))).alias("w")).where(F.size("w") > 0)
+    wanted = asked.select(F.explode("w").alias("term")).distinct()
+    stats = cut_lineage(terms.join(wanted, "term", "left_semi").join(docs.select(group, "avgdl"), group).select(group, "term", "idf", "avgdl"))
+    rows = corpus.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(text).alias("t")).where(F.col("t") != "")
+
+    def blocks() -> Iterator[tuple]:
+        part: list = []
+        for r in asked.toLocalIterator():
+            part.append(r)
+            if len(part) == BLOCK_QUERIES:
+                yield postings(part)
+                part = []
+        if part:
+            yield postings(part)
+
+    def postings(part: list) -> tuple:
+        counts = [Counter(r.w) for r in part]
+        words = spark.createDataFrame([(t,) for t in {t for c in counts for t in c}], "term string")
+        weight: dict[tuple[str, str], float] = {}
+        avgdl: dict[str, float] = {}
+        for r in stats.join(words, "term", "left_semi").toLocalIterator():
+            weight[r[group], r.term], avgdl[r[group]] = r.idf, r.avgdl
+        lists: dict[str, dict[str, tuple[np.ndarray, np.ndarray]]] = {}
+        holders: dict[str, list[int]] = {}
+        for j, c in enumerate(counts):
+            for t in c:
+                holders.setdefault(t, []).append(j)
+        for (g, t), w in weight.items():
+            q = holders[t]
+            lists.setdefault(g, {})[t] = np.array(q), np.array([counts[j][t] * w for j in q])
+        return [r.q for r in part], lists, avgdl
+
+    def apply(sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, lists, avgdl = sent.value
+            best: dict[str, _Best] = {}
+            held: dict[str, list] = {}
+
+            def score(g: str) -> None:
+                """Scores a slice of documents, queries x documents, and keeps the best."""
+                part = held.pop(g, [])
+                if part:
+                    at = np.concatenate([q + d * len(ids) for d, (_, qs, _) in enumerate(part) for q in qs])
+                    s = np.bincount(at, np.concatenate([w for _, _, ws in part for w in ws]), len(ids) * len(part)).reshape(len(part), -1).T
+                    s = np.round(s, DIGITS)
+                    best.setdefault(g, _Best(len(ids), k)).add(np.where(s > 0, -s, np.inf), np.array([i for i, _, _ in part]))
+
             for b in batches:
-                scores: dict[str, list] = {}
                 for g, i, t in zip(*(c.to_pylist() for c in b.columns)):
+                    mine = lists.get(g)
+                    if not mine:
+                        continue
                     w = t.lower().split()
-                    c = Counter(x for x in w if x in place)
+                    c = Counter(x for x in w if x in mine)
                     if not c:
                         continue
-                    tf = np.fromiter(c.values(), float, len(c))
-                    tf = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * len(w) / avgdl[g]))
-                    s = tf @ weights[g][[place[x] for x in c]]
-                    scores.setdefault(g, []).append((i, s))
-                for g, found in scores.items():
-                    s, i = np.round(np.array([x for _, x in found]).T, DIGITS), np.array([x for x, _ in found], object)
-                    if g in best:
-                        s, i = np.concatenate([best[g][0], s], 1), np.concatenate([best[g][1], np.broadcast_to(i, (len(ids), len(i)))], 1)
-                    else:
-                        i = np.broadcast_to(i, (len(ids), len(i)))
-                    if s.shape[1] > k:
-                        order = np.array([np.lexsort((i[q].astype(str) if not isinstance(i[q][0], (int, np.integer)) else i[q].astype(np.int64), -s[q]))[:k] for q in range(len(ids))])
-                        s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-                    best[g] = (s, i)
-            for g, (s, i) in best.items():
-                q, j = np.nonzero(s > 0)
+                    norm = BM25_K1 * (1 - BM25_B + BM25_B * len(w) / avgdl[g])
+                    part = held.setdefault(g, [])
+                    part.append((i, [mine[x][0] for x in c], [mine[x][1] * (n * (BM25_K1 + 1) / (n + norm)) for x, n in c.items()]))
+                    if len(part) * len(ids) >= SLICE:
+                        score(g)
+            for g in list(held):
+                score(g)
+            for g, found in best.items():
+                q, s, i = found.cut()
                 if len(q):
-                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(q)), pa.array([ids[x] for x in q]), pa.array(i[q, j].tolist()), pa.array(s[q, j])], names=[group, "query_id", "id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(q)), pa.array([ids[x] for x in q]), pa.array(i.tolist()), pa.array(-s)], names=[group, "query_id", "id", "score"])
 
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
+        return rows.mapInArrow(run, schema)
+
+    out = each_block(spark, blocks(), apply)
     if out is None:
         out = spark.createDataFrame([], schema)
     return _best(out, ["query_id", group], [F.desc("score"), F.col("id")], k)
@@ -207,6 +300,40 @@ def rrf(vector: DataFrame, lexical: DataFrame, keys: list[str], weight: float =
     return both.groupBy(query_id, *keys).agg(F.sum("s").alias("rrf_score"))
 
 
+def retrieve(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, hybrid: bool = True, forced: int = 2, vec_col: str = "vec") -> DataFrame:
+    """(query_id, place, collection, id, distance, rrf_score): the k best pieces of each query over its routed collections.
+
+    corpus: collection, id, repo, kind, text and a vector; queries: query_id, query, route, repo and a vector. The
+    vector lists are concatenated in routing order, nearest first within a collection, and only then boosted by kind; a
+    query's repository bounds code and documents, the SQL tree is a repository of its own. With `hybrid`, the lexical
+    lists are fused with them by weighted reciprocal ranks; a query no word of which is found keeps its vector list,
+    by distance. The nearest documents of the query's repository come first if they are not among what was found.
+    """
+    own = F.when(F.col("collection").isin("repos", "docs"), F.col("repo"))
+    seen = corpus.where("collection <> 'sql' OR repo = 'SQL-SCRIPTS'").withColumn("scope", own)
+    asked = queries.withColumn("scope", F.nullif("repo", F.lit("")))
+    near = vector_topk(seen, asked, max(2, k + 1, forced), "id", vec_col, False, "query_id", "collection", "scope")
+    route = queries.select("query_id", F.posexplode("route").alias("col_pos", "collection"), per_collection(k, F.size("route")).alias("fan_out"))
+    kinds = corpus.select("id", "kind")
+    far = (near.join(route, ["query_id", "collection"]).where((F.col("rank") <= F.col("fan_out")) | (F.col("collection") == "docs") & (F.col("rank") <= forced))
+           .join(kinds, "id").withColumn("distance", F.round(F.col("distance") / boost(F.col("kind")), DIGITS)))
+    by_query = W.partitionBy("query_id")
+    listed = far.where("rank <= fan_out").withColumn("rank0", F.row_number().over(by_query.orderBy("col_pos", "rank")) - 1)
+    keys = ["collection", "id"]
+    both = listed.select("query_id", *keys, "distance", F.col("rank0").alias("ord"), (F.lit(VECTOR_WEIGHT) / (F.col("rank0") + RRF_K + 1)).alias("s"), F.lit(0).alias("lexical"))
+    if hybrid:
+        words = bm25_topk(corpus, queries, LEXICAL_K, query_id="query_id").join(route, ["query_id", "collection"]).withColumn("rank0", F.row_number().over(by_query.orderBy("col_pos", "rank")) - 1)
+        both = both.unionByName(words.select("query_id", *keys, F.round(1.0 / (1.0 + F.col("score")), DIGITS).alias("distance"), (F.col("rank0") + (1 << 20)).alias("ord"),
+                                             (F.lit(1 - VECTOR_WEIGHT) / (F.col("rank0") + RRF_K + 1)).alias("s"), F.lit(1).alias("lexical")))
+    one = both.groupBy("query_id", *keys).agg(F.round(F.sum("s"), 9).alias("rrf_score"), F.min("ord").alias("ord"), F.min_by("distance", "ord").alias("distance"), F.max("lexical").alias("lexical"))
+    fused = F.max("lexical").over(by_query) == 1
+    placed = one.withColumn("fused", fused).withColumn("at", F.row_number().over(by_query.orderBy(F.when(F.col("fused"), -F.col("rrf_score")).otherwise(F.col("distance")), "ord")))
+    first = (far.where((F.col("collection") == "docs") & (F.col("rank") <= forced)).join(asked.where("scope IS NOT NULL").select("query_id"), "query_id")
+             .join(one.select("query_id", *keys), ["query_id", *keys], "left_anti").select("query_id", *keys, "distance", F.lit(None).cast("double").alias("rrf_score"), (-F.col("rank")).alias("at")))
+    every = placed.select("query_id", *keys, "distance", F.when(F.col("fused"), F.col("rrf_score")).alias("rrf_score"), "at").unionByName(first)
+    return _best(every, ["query_id"], [F.col("at")], k).select("query_id", F.col("rank").alias("place"), *keys, "distance", "rrf_score")
+
+
 def filter_context(hits: DataFrame, max_chunks: int = MAX_CHUNKS, max_distance: float = MAX_DISTANCE, strong: float = STRONG_DISTANCE, early_stop: int = EARLY_STOP, per_path: int = PER_PATH) -> DataFrame:
     """Hits fit for a prompt, with their `rank`: near enough (or the nearest one), few a path, few enough if strong.
 

@@ -24,7 +24,7 @@ def query(sql: str | None):
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """The indexed pieces, repeated rows once."""
+    """The indexed pieces, repeated rows once. An id is made of collection, path and index, so the rows it stands for are equal."""
     return load(spark, d, "chunks").dropDuplicates(["id"])
 
 
@@ -129,6 +129,44 @@ def retrieved(spark: SparkSession, d: str, k: int = S.TOP_K) -> DataFrame:
     return kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+_HYBRID = _SCORES + f""", e AS (SELECT *, {_INTENT} AS kind FROM eval_items),
+ro AS (SELECT item_id AS query_id, query, nullif(repo, '') AS scope, CASE WHEN len(collections) > 0 THEN collections WHEN kind = 'discrepancy' THEN ['discrepancies', 'docs', 'repos'] WHEN kind = 'incident' THEN ['playbooks', 'docs', 'repos']
+  WHEN regexp_matches(query, '\\b(sql|schema|mysql|table|database|column|migration|ddl)\\b', 'i') THEN ['repos', 'docs', 'sql'] ELSE ['repos', 'docs'] END AS route FROM e),
+p AS (SELECT query_id, scope, unnest(range(len(route))) AS col_pos, unnest(route) AS collection, greatest(2, 8 // len(route) + 1) AS fan_out FROM ro),
+cb AS (SELECT id, b, count(*)::DOUBLE AS x FROM (SELECT id, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS b FROM (SELECT id, unnest(w) AS term FROM w)) GROUP BY 1, 2), cn AS (SELECT id, sqrt(sum(x * x)) AS n FROM cb GROUP BY 1),
+qb AS (SELECT item_id AS query_id, b, sum(qn)::DOUBLE AS x FROM (SELECT item_id, qn, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS b FROM q) GROUP BY 1, 2), qm AS (SELECT query_id, sqrt(sum(x * x)) AS n FROM qb GROUP BY 1),
+dot AS (SELECT query_id, id, sum(qb.x * cb.x) AS d FROM qb JOIN cb USING (b) GROUP BY 1, 2),
+pr AS (SELECT p.query_id, p.col_pos, p.collection, p.fan_out, c.id, c.kind, round(1 - coalesce(d, 0) / (qm.n * cn.n), 6) AS raw FROM p JOIN qm USING (query_id) JOIN c ON c.collection = p.collection AND (c.collection <> 'sql' OR c.repo = 'SQL-SCRIPTS')
+  AND (scope IS NULL OR c.collection NOT IN ('repos', 'docs') OR c.repo IS NULL OR c.repo = scope) JOIN cn ON cn.id = c.id LEFT JOIN dot ON dot.query_id = p.query_id AND dot.id = c.id),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY raw, id) AS vrank FROM pr QUALIFY vrank <= fan_out),
+vl AS (SELECT *, round(raw / CASE WHEN kind IN ('readme', 'doc') THEN 1.35::DOUBLE WHEN kind = 'discrepancy' THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY col_pos, vrank) - 1 AS r0 FROM vr),
+ll AS (SELECT b.query_id, b.collection, b.id, round(1.0 / (1.0 + score), 6) AS distance, row_number() OVER (PARTITION BY b.query_id ORDER BY col_pos, rank) - 1 AS r0 FROM b JOIN p ON p.query_id = b.query_id AND p.collection = b.collection),
+u AS (SELECT query_id, collection, id, distance, r0 AS ord, 0.7::DOUBLE / (r0 + 61) AS s, 0 AS lex FROM vl UNION ALL SELECT query_id, collection, id, distance, r0 + 1048576, (1 - 0.7::DOUBLE) / (r0 + 61), 1 FROM ll),
+o AS (SELECT query_id, collection, id, round(sum(s), 9) AS rrf, min(ord) AS ord, arg_min(distance, ord) AS distance, max(lex) AS lex FROM u GROUP BY 1, 2, 3),
+fu AS (SELECT *, max(lex) OVER (PARTITION BY query_id) = 1 AS fused FROM o),
+pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN fused THEN -rrf ELSE distance END, ord) AS place FROM fu QUALIFY place <= 8)
+"""
+
+
+def with_vectors(x: DataFrame, text: str) -> DataFrame:
+    return x.withColumn("vec", S.hash_embedding(F.coalesce(text, F.lit(""))))
+
+
+@query(_HYBRID + "SELECT query_id, place, collection, id, distance, CASE WHEN fused THEN rrf END AS rrf_score FROM pl")
+def retrieve_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Every evaluation case through the whole of retrieval: routing, vectors, words, fusion, boosts, documents of its repository."""
+    q = cases(spark, d).select(F.col("item_id").alias("query_id"), "query", "route", "repo")
+    return S.retrieve(with_vectors(corpus(spark, d).select("id", "collection", "repo", "kind", "text"), "text"), with_vectors(q, "query"))
+
+
+@query(_HYBRID.replace(" UNION ALL SELECT query_id, collection, id, distance, r0 + 1048576, (1 - 0.7::DOUBLE) / (r0 + 61), 1 FROM ll", "")
+       + "SELECT query_id, place, collection, id, distance FROM pl")
+def retrieve_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The same without the lexical side: by boosted distance."""
+    q = cases(spark, d).select(F.col("item_id").alias("query_id"), "query", "route", "repo")
+    return S.retrieve(with_vectors(corpus(spark, d).select("id", "collection", "repo", "kind", "text"), "text"), with_vectors(q, "query"), hybrid=False).drop("rrf_score")
+
+
 _CASES = _SCORES + f""", e AS (SELECT *, {_INTENT} AS kind FROM eval_items),
 ro AS (SELECT *, CASE WHEN len(collections) > 0 THEN collections WHEN kind = 'discrepancy' THEN ['discrepancies', 'docs', 'repos'] WHEN kind = 'incident' THEN ['playbooks', 'docs', 'repos']
   WHEN regexp_matches(query, '\\b(sql|schema|mysql|table|database|column|migration|ddl)\\b', 'i') THEN ['repos', 'docs', 'sql'] ELSE ['repos', 'docs'] END AS route FROM e),
