@@ -240,7 +240,7 @@ def occurrences(c: Column | str, old: Column) -> Column:
 PROSE_PATH = r"(?i)(?:^|[\s`'\"(])([\w./-]+\.(?:py|sh|php|html|htm|css|sql|yaml|yml|json|md|txt|js|ts))(?:[\s`'\",):]|$)"
 PASSAGE_HEADER = r"(?md)^###\s+\[[^\]]+\]\s+(?:[\w-]+/)?(.+?)\s+\(chunk"
 LINE_MENTION = r"(?i)line\s+(\d+)"
-IDENTIFIER = r"(?i)\b([a-z_][a-z0-9_]{2,})\b"
+IDENTIFIER = r"(?iU)\b([a-z_][a-z0-9_]{2,})\b"
 NO_TABLES = ("select", "from", "where", "update", "insert", "delete", "table", "schema", "database", "mysql", "the", "and", "for", "with", "into", "join", "left", "right", "inner", "outer", "group", "order", "limit", "fix", "error", "file", "line",
              "python", "script")
 DATABASE_WORDS = ("sql", "schema", "mysql", "table", "column", "database", "writer", "work", "ipi")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from millrace.functions.text import number_of
+from millrace.session import cut_lineage
 from millrace.sources import sqltext
 
 SAMPLE_ROWS, THRESHOLD_PCT = 5, 25.0
@@ -159,3 +160,21 @@ def anomalies(results: DataFrame, known: DataFrame) -> DataFrame:
     j = failed.join(k, "fingerprint", "left")
     fresh = F.col("__state").isNull() | F.col("__state").isin("ANOMALY_RESOLVED", "RESOLVED")
     return j.select("fingerprint", "check_id", "severity", "metric_value", "reason", F.when(fresh, 1).otherwise(F.col("__seen") + 1).alias("seen_count"), fresh.alias("new"))
+
+
+def cycle(spark: SparkSession, checks: list[Check], baselines: DataFrame, known: DataFrame, history: DataFrame, now: Column, mode: str = "rows") -> dict[str, DataFrame]:
+    """A whole run: `results`, the `baselines` after it, `anomalies` with how often each was seen, the `history` kept, a `summary`.
+
+    The results are computed once; nothing is stored here, so a run that dies leaves everything as it was.
+    known: fingerprint, state, seen_count; history: check_id, run (epoch seconds of the run), value.
+    """
+    results = cut_lineage(run(spark, checks, baselines, mode))
+    values = results.where("ok").select("check_id", F.unix_seconds(now).alias("run"), F.col("metric_value").alias("value"))
+    return {"results": results, "baselines": new_baselines(results, baselines, checks, now), "anomalies": anomalies(results, known),
+            "history": retain(history.select("check_id", "run", "value").unionByName(values)), "summary": summary(results)}
+
+
+def golden_cases(rows: DataFrame, repo: str | None = None) -> list[dict]:
+    """Cases kept as a table (id, repo, kind, sql, and the bounds min_scalar, min_rows, max_rows); all of them, or a repository's."""
+    rows = rows if repo is None else rows.where(F.coalesce("repo", F.lit("")) == repo)
+    return [{"id": r.id, "kind": r.kind, "sql": r.sql, "expect": {k: r[k] for k in ("min_scalar", "min_rows", "max_rows") if r[k] is not None}} for r in rows.orderBy("id").collect()]  # a stated list of cases

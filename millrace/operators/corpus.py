@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from millrace.functions import text as T
 
@@ -84,6 +84,7 @@ def playbooks(incidents: DataFrame) -> DataFrame:
     done = incidents.where(F.col("state").isin("FIXED", "RESOLVED"))
     part = lambda label, c: F.concat(F.lit(label), F.col(c).cast("string"))
     path = F.concat(F.lit("playbook_"), F.substring("fingerprint", 1, 12), F.lit(".md"))
+    # fields without a value are left out
     text = F.concat_ws("\n", part("state: ", "state"), part("tool: ", "tool"), part("module: ", "module"), part("kind: ", "kind"), part("message: ", "message"))
     return done.select(F.lit("playbooks").alias("collection"), T.chunk_id(F.lit("playbooks"), path, F.lit(0)).alias("id"), F.coalesce("repos_name", F.lit("unknown")).alias("repo"), path.alias("path"),
                        F.lit(0).alias("chunk"), F.lit("playbook").alias("kind"), text.alias("text"))
@@ -102,15 +103,47 @@ def missing_refs(readmes: DataFrame, files: DataFrame, wide: bool = False) -> Da
 
 
 def env_not_in_example(readmes: DataFrame, examples: DataFrame, most: int = 5) -> DataFrame:
-    """Environment keys of a readme that the example file lacks: with an underscore, longer than four, the first few by name."""
-    a = readmes.groupBy("repo").agg(F.array_distinct(F.flatten(F.collect_list(T.env_keys("text")))).alias("a"))  # one readme a repository
-    b = examples.groupBy("repo").agg(F.array_distinct(F.flatten(F.collect_list(T.env_keys("text")))).alias("b"))
-    only = F.array_except(F.array_except("a", "b"), F.array(*map(F.lit, NO_ENV_KEYS)))
-    kept = F.slice(F.array_sort(F.filter(only, lambda k: (F.length(k) > 4) & k.contains("_"))), 1, most)
-    return a.join(b, "repo").select("repo", F.explode(kept).alias("ref")).withColumn("check", F.lit("readme_env_not_in_example"))
+    """Environment keys of a readme that the example file lacks: with an underscore, longer than four, the first few by name.
+
+    Both sides are (repo, text); keys are made distinct before they meet, so no repository is one row. A repository
+    without an example file has no findings.
+    """
+    keys = lambda t: t.select("repo", F.explode(T.env_keys("text")).alias("ref")).distinct()
+    said = keys(readmes).where((F.length("ref") > 4) & F.col("ref").contains("_") & ~F.col("ref").isin(*NO_ENV_KEYS))
+    only = said.join(examples.select("repo").distinct(), "repo", "left_semi").join(keys(examples), ["repo", "ref"], "left_anti")
+    n = F.row_number().over(W.partitionBy("repo").orderBy("ref"))
+    return only.withColumn("__n", n).where(F.col("__n") <= most).select("repo", "ref", F.lit("readme_env_not_in_example").alias("check"))
 
 
 def unmapped(path_map: DataFrame, repos: DataFrame) -> DataFrame:
     """Modules whose repository does not exist."""
     m = path_map.select("module", F.coalesce("repos_name", "module").alias("repo"))
     return m.join(repos.select("repo").distinct(), "repo", "left_anti").select("repo", F.col("module").alias("ref"), F.lit("path_map_missing_repo").alias("check"))
+
+
+#: Severity of each check and what its finding says.
+SEVERITY = {"readme_missing_path": "warning", "path_map_missing_repo": "warning", "readme_env_not_in_example": "info"}
+SAYS = {"readme_missing_path": " names a file that is not there: ", "path_map_missing_repo": " does not exist, but is mapped from ", "readme_env_not_in_example": " documents a key that its example lacks: "}
+
+
+def drift(readmes: DataFrame, files: DataFrame, examples: DataFrame, path_map: DataFrame) -> DataFrame:
+    """(repo, check, ref, severity, summary): the findings of all three checks.
+
+    readmes and examples: repo, text; files: repo, rel_path. The repositories are those that have files.
+    """
+    found = unmapped(path_map, files).unionByName(missing_refs(readmes, files)).unionByName(env_not_in_example(readmes, examples))
+    pick = lambda of: F.create_map(*[F.lit(x) for kv in of.items() for x in kv])[F.col("check")]
+    return found.select("repo", "check", "ref", pick(SEVERITY).alias("severity"), F.concat("repo", pick(SAYS), "ref").alias("summary"))
+
+
+def finding_documents(findings: DataFrame) -> DataFrame:
+    """Findings as one-chunk documents (collection discrepancies). Their names come from what they say, so a run overwrites itself."""
+    path = F.concat(F.lit("finding_"), F.substring(F.md5("summary"), 1, 12), F.lit(".txt"))
+    c = F.lit("discrepancies")
+    return findings.select(c.alias("collection"), T.chunk_id(c, path, F.lit(0)).alias("id"), "repo", path.alias("path"), F.lit(0).alias("chunk"), F.lit("discrepancy").alias("kind"), "severity", "check", F.col("summary").alias("text"))
+
+
+def newest(rows: DataFrame, key: Column, order: str) -> DataFrame:
+    """The row of each key with the largest order value, whatever the columns; rows without a key are left out. Partial maxima only."""
+    one = rows.withColumn("__key", key).where(F.col("__key").isNotNull()).groupBy("__key").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), order).alias("r"))
+    return one.select("r.*")

@@ -81,8 +81,14 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     return folded.select("path", F.when(failed, F.col("__old")).when(F.col("__s.gone"), none).otherwise(F.coalesce("__s.text", "__old")).alias("content"), (~failed & F.col("__s.gone")).alias("deleted"), F.col("__s.error").alias("error"))
 
 
-def audit(files: DataFrame) -> DataFrame:
+def mail_rule(domains: tuple[str, ...]) -> tuple[str, str, tuple[str, ...]]:
+    """The rule against mail addresses of the given domains, without their endings."""
+    return "mail_address", r"[a-zA-Z0-9._%+-]+@(" + "|".join(domains) + r")\.(com|io|net)", _TEXTS[:5]
+
+
+def audit(files: DataFrame, mail_domains: tuple[str, ...] = ("example-private", "yourcompany")) -> DataFrame:
     """(path, line, rule) of every line that breaks a rule and is no known placeholder."""
+    rules = (*AUDIT_RULES, mail_rule(mail_domains))
     lines = files.select("path", F.posexplode(F.split("content", "\r?\n")).alias("n", "text")).withColumn("line", F.col("n") + 1)
-    found = F.array(*[F.when(F.col("text").rlike(p) & F.lower("path").rlike("(" + "|".join(e.replace(".", r"\.") for e in ends) + ")$"), F.lit(name)) for name, p, ends in AUDIT_RULES])
+    found = F.array(*[F.when(F.col("text").rlike(p) & F.lower("path").rlike("(" + "|".join(e.replace(".", r"\.") for e in ends) + ")$"), F.lit(name)) for name, p, ends in rules])
     return lines.where(~F.col("text").rlike(AUDIT_ALLOWED)).select("path", "line", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("rule"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import text as T
 from millrace.operators import corpus as C, edits as E
+from millrace.operators.delivery import canonical_hash
 from millrace.tables import load
 
 QUERIES, ORACLES = {}, {}
@@ -196,7 +197,7 @@ def replace_once(spark: SparkSession, d: str) -> DataFrame:
     return E.replace_once(f, e).select(F.col("path").alias("doc_id"), F.md5(F.col("content")).alias("content"), "error")
 
 
-_AUDIT = " UNION ALL ".join(f"SELECT path, line, '{n}' AS rule FROM l WHERE regexp_matches(t, '{p}') AND regexp_matches(lower(path), '({'|'.join(e.replace('.', chr(92) + '.') for e in ends)})$')" for n, p, ends in E.AUDIT_RULES)
+_AUDIT = " UNION ALL ".join(f"SELECT path, line, '{n}' AS rule FROM l WHERE regexp_matches(t, '{p}') AND regexp_matches(lower(path), '({'|'.join(e.replace('.', chr(92) + '.') for e in ends)})$')" for n, p, ends in (*E.AUDIT_RULES, E.mail_rule(("example-private", "yourcompany"))))
 
 
 @query(f"WITH u AS (SELECT id || '/' || path AS path, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS s FROM (SELECT DISTINCT id, path, text FROM chunks)), l AS (SELECT path, unnest(range(len(s))) + 1 AS line, unnest(s) AS t FROM u), "
@@ -207,11 +208,14 @@ def audit_scan(spark: SparkSession, d: str) -> DataFrame:
     return E.audit(f.select(F.concat("id", F.lit("/"), "path").alias("path"), F.col("text").alias("content")))
 
 
-@query(f"""SELECT item_id, text IS NOT NULL AS any_name,
+_NAMES = rf"list_distinct(list_transform(regexp_extract_all(' ' || regexp_replace(text, '([^{_W}])', '\1\1', 'g') || ' ', '[^{_W}]([A-Za-z_][A-Za-z0-9_]{{2,}})[^{_W}]', 1), lambda x: lower(x)))"
+
+
+@query(f"""SELECT item_id, least(5, len(list_filter({_NAMES}, lambda x: x NOT IN ({", ".join(f"'{w}'" for w in T.NO_TABLES)}))))::INT AS names,
 {" OR ".join(f"contains(lower(text), '{w}')" for w in T.DATABASE_WORDS)} AS needs_schema, {" OR ".join(f"contains(lower(text), '{w}')" for w in T.DRIFT_WORDS)} AS drift FROM eval_items""")
 def prose_flags(spark: SparkSession, d: str) -> DataFrame:
-    """What each evaluation text speaks of."""
-    return load(spark, d, "eval_items").select("item_id", T.table_candidates("text").isNotNull().alias("any_name"), T.needs_schema("text").alias("needs_schema"), T.speaks_of_drift("text").alias("drift"))
+    """What each evaluation text speaks of, and how many table candidates it names."""
+    return load(spark, d, "eval_items").select("item_id", F.size(T.table_candidates("text")).alias("names"), T.needs_schema("text").alias("needs_schema"), T.speaks_of_drift("text").alias("drift"))
 
 
 @query()
@@ -219,3 +223,102 @@ def prose_paths(spark: SparkSession, d: str) -> DataFrame:
     """Paths each document names, relative to its repository, with the line it mentions and its table candidates. Tested on literals."""
     x = load(spark, d, "documents").select("doc_id", "repo", "text", T.discover_paths(F.lit(None).cast("array<string>"), F.col("text"), F.lit(""), F.col("text"), F.col("repo")).alias("paths"))
     return x.select("doc_id", "paths", T.line_mention(F.coalesce(F.try_element_at("paths", F.lit(1)), F.lit("")), F.col("text")).alias("line"), T.table_candidates("text").alias("tables"), T.has_conflict("text").alias("conflict"))
+
+
+# --- files in and out of the index -------------------------------------------------------------------------------------
+
+_SHOWN = " AND ".join(f"NOT contains('/' || rel_path, '/{x}/')" for x in C.EXCLUDED)
+_ENDS = " OR ".join(f"ends_with(split_part(rel_path, '/', -1), '{x}')" for x in T.INDEXABLE)
+_NAME = "split_part(rel_path, '/', -1)"
+
+
+@query(f"""SELECT collection, rel_path, size, coalesce(({_ENDS}) AND size <= 512000 AND {_SHOWN}
+AND NOT (NOT (ends_with({_NAME}, '.example') OR ends_with({_NAME}, '.example.env')) AND ({_NAME} IN ('.env', '.env.local', '.env.production', '.env.staging') OR regexp_matches({_NAME}, '\\.env\\.[^.]+$'))), false) AS indexed FROM manifest""")
+def index_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Which files of the manifest may be indexed: by extension, size, directory and secrecy."""
+    return load(spark, d, "manifest").select("collection", "rel_path", "size", F.coalesce(C.indexable(F.col("rel_path"), F.col("size")), F.lit(False)).alias("indexed"))
+
+
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").select(F.lit("repos").alias("collection"), F.concat(F.lit("N/d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"), F.col("text").alias("content"))
+
+
+@query(f"""WITH r AS (SELECT 'N/d' || doc_id || '.txt' AS path, {_redacted("coalesce(text, '')")} AS t FROM documents), c AS (SELECT path, t, unnest(range(greatest(0, CAST(ceil((length(t) - 1200) / 1000.0) AS BIGINT)) + 1)) AS chunk FROM r)
+SELECT substr(sha256('repos:' || path || ':' || chunk), 1, 32) AS id, path, chunk::INT AS chunk, md5(substr(t, chunk * 1000 + 1, 1200)) AS text FROM c""")
+def index_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a text file of the index: redacted, cut, numbered, with ids."""
+    return C.chunk_files(_notes(spark, d)).select("id", "path", "chunk", F.md5("text").alias("text"))
+
+
+_HIT = "('0x' || substr(md5(path), 1, 6))::INT"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT id, collection, path, chunk FROM chunks), f AS (SELECT DISTINCT collection, path FROM s)
+SELECT id, collection, path, chunk FROM s WHERE {_HIT} % 5 <> 0 AND {_HIT} % 5 <> 1 UNION ALL SELECT substr(sha256(collection || ':' || path || ':0'), 1, 32), collection, path, 0 FROM f WHERE {_HIT} % 5 = 1""")
+def index_replace(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk table after a run in which a fifth of the files, by a hash of their path, shrank to one piece and a fifth were removed."""
+    stored = load(spark, d, "chunks").select("id", "collection", "path", "chunk").distinct()
+    h = F.conv(F.substring(F.md5("path"), 1, 6), 16, 10).cast("int") % 5
+    files = stored.select("collection", "path").distinct()
+    new = files.where(h == 1).select(T.chunk_id(F.col("collection"), F.col("path"), F.lit(0)).alias("id"), "collection", "path", F.lit(0).alias("chunk"))
+    return C.replace_files(stored, new, files.where(h == 0).select("collection", F.col("path").alias("rel_path")))
+
+
+@query("""WITH n AS (SELECT doc_id, text, CAST((length(text) - length(replace(text, 'must ', ''))) / 5 AS BIGINT) AS n FROM documents),
+e AS (SELECT *, CASE WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 4 = 2 THEN 'file exists' WHEN n = 0 THEN 'not found' WHEN n > 1 THEN 'matched ' || n || ' times' WHEN doc_id % 4 = 3 THEN 'delete after edit' END AS error FROM n)
+SELECT doc_id, CASE WHEN error IS NOT NULL THEN md5(text) WHEN doc_id % 4 = 1 THEN NULL ELSE md5(replace(text, 'must ', 'shall ')) END AS content, error IS NULL AND doc_id % 4 = 1 AS deleted, error FROM e""")
+def edits_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """Each document under one of four lists of edits: a replacement; a deletion; a creation; a replacement, then a deletion."""
+    docs = load(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), (F.col("doc_id") % 4).alias("k"))
+    none = F.lit(None).cast("string")
+    put = lambda n, kind, old, new, body: F.struct(F.lit(n).alias("ord"), F.lit(kind).alias("type"), old.alias("old_str"), new.alias("new_str"), body.alias("content"))
+    swap, gone, made = put(1, "replace", F.lit("must "), F.lit("shall "), none), put(2, "delete", none, none, none), put(1, "create", none, none, F.lit("new"))
+    todo = F.when(F.col("k") == 0, F.array(swap)).when(F.col("k") == 1, F.array(gone)).when(F.col("k") == 2, F.array(made)).otherwise(F.array(gone, swap))
+    x = E.apply_edits(docs.select("path", "content"), docs.select("path", F.explode(todo).alias("e")).select("path", "e.*"))
+    return x.select(F.col("path").cast("long").alias("doc_id"), F.md5("content").alias("content"), "deleted", "error")
+
+
+# --- drift and playbooks -------------------------------------------------------------------------------------------------
+
+_PARTS = rf"""d AS (SELECT DISTINCT split_part(path, '/', 1) AS repo, text FROM chunks WHERE kind IN ('readme', 'doc')), x AS (SELECT DISTINCT split_part(path, '/', 1) AS repo, text FROM chunks WHERE ends_with(path, '/.env.example')),
+dk AS (SELECT DISTINCT repo, unnest({_KEYS}) AS ref FROM d), xk AS (SELECT DISTINCT repo, unnest({_KEYS}) AS ref FROM x),
+me AS (SELECT repo, ref FROM dk WHERE length(ref) > 4 AND contains(ref, '_') AND ref NOT IN ({", ".join(f"'{k}'" for k in C.NO_ENV_KEYS)}) AND repo IN (SELECT repo FROM x) AND NOT EXISTS (SELECT 1 FROM xk WHERE xk.repo = dk.repo AND xk.ref = dk.ref)
+  QUALIFY row_number() OVER (PARTITION BY repo ORDER BY ref) <= 5)"""
+
+
+def _drift_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = load(spark, d, "chunks").withColumn("repo", F.split("path", "/")[0])
+    return c.where("kind IN ('readme', 'doc')").select("repo", "text"), c.select("repo", F.regexp_replace("path", "^[^/]*/", "").alias("rel_path")), c.where("endswith(path, '/.env.example')").select("repo", "text")
+
+
+@query(f"WITH {_PARTS} SELECT repo, ref, 'readme_env_not_in_example' AS \"check\" FROM me")
+def drift_env_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Environment keys that documents mention and the example files of their repository lack."""
+    readmes, _, examples = _drift_sides(spark, d)
+    return C.env_not_in_example(readmes, examples)
+
+
+_ALL = _PARTS + rf""", mr AS ({{missing}}),
+un AS (SELECT coalesce(repos_name, module) AS repo, module AS ref FROM path_map WHERE NOT EXISTS (SELECT 1 FROM chunks WHERE split_part(path, '/', 1) = coalesce(repos_name, module))),
+al AS (SELECT repo, ref, 'readme_env_not_in_example' AS c, 'info' AS severity, '{C.SAYS["readme_env_not_in_example"]}' AS say FROM me UNION ALL SELECT repo, ref, 'path_map_missing_repo', 'warning', '{C.SAYS["path_map_missing_repo"]}' FROM un
+  UNION ALL SELECT repo, ref, 'readme_missing_path', 'warning', '{C.SAYS["readme_missing_path"]}' FROM mr)"""
+_MISSING = ORACLES["drift_missing_refs"]
+
+
+@query("WITH " + _ALL.replace("{missing}", _MISSING) + """ SELECT substr(sha256('discrepancies:finding_' || substr(md5(repo || say || ref), 1, 12) || '.txt:0'), 1, 32) AS id, repo, 'finding_' || substr(md5(repo || say || ref), 1, 12) || '.txt' AS path, severity, c AS "check", repo || say || ref AS text FROM al""")
+def drift_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The findings of all drift checks as documents of the index."""
+    readmes, files, examples = _drift_sides(spark, d)
+    return C.finding_documents(C.drift(readmes, files, examples, load(spark, d, "path_map"))).select("id", "repo", "path", "severity", "check", "text")
+
+
+_H = r"nullif(regexp_replace(lower(regexp_replace(fingerprint, '\s+', '', 'g')), '^sha256:', ''), '')"
+
+
+@query(f"""WITH n AS (SELECT {_H} AS fp, arg_max(struct_pack(state := state, tool := tool, module := module, kind := kind, message := message, repos_name := repos_name), delivery_id) AS r FROM incidents WHERE {_H} IS NOT NULL GROUP BY 1),
+p AS (SELECT 'playbook_' || substr(fp, 1, 12) || '.md' AS path, r FROM n WHERE r.state IN ('FIXED', 'RESOLVED'))
+SELECT substr(sha256('playbooks:' || path || ':0'), 1, 32) AS id, coalesce(r.repos_name, 'unknown') AS repo, path, md5(concat_ws(chr(10), 'state: ' || r.state, 'tool: ' || r.tool, 'module: ' || r.module, 'kind: ' || r.kind, 'message: ' || r.message)) AS text FROM p""")
+def playbook_documents(spark: SparkSession, d: str) -> DataFrame:
+    """What the newest delivery of each failure says of how it was resolved, as documents of the index."""
+    i = load(spark, d, "incidents").withColumn("fingerprint", canonical_hash("fingerprint"))
+    return C.playbooks(C.newest(i.select("delivery_id", "fingerprint", "state", "tool", "module", "kind", "message", "repos_name"), F.col("fingerprint"), "delivery_id")).select("id", "repo", "path", F.md5("text").alias("text"))

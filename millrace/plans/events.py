@@ -156,6 +156,28 @@ def check_rolling_baseline(spark: SparkSession, d: str) -> DataFrame:
     return K.rolling_baseline(_history(spark, d), 10.0)
 
 
+CYCLE = [K.Check("no_rows", "SELECT o_orderkey FROM orders WHERE o_totalprice < 0"), K.Check("nations", "SELECT n_nationkey FROM nation", "max_rows", 3), K.Check("regions", "SELECT count(*) AS cnt FROM region", "baseline_delta_pct"),
+         K.Check("few", "SELECT count(*) AS cnt FROM nation", "min_scalar", 1000)]
+_REASONS = "(VALUES ('nations', 'count 25.0 > max 3.0'), ('few', 'scalar 25.0 < min 1000.0')) f(id, why)"
+
+
+@query(f"""SELECT 'summary' AS part, 'failed' AS name, 2.0::DOUBLE AS value UNION ALL SELECT 'summary', 'passed', 2 UNION ALL SELECT 'baseline', 'regions', 5 UNION ALL SELECT 'history', id, v FROM (VALUES ('no_rows', 1), ('nations', 2), ('regions', 1), ('few', 1)) h(id, v)
+UNION ALL SELECT 'anomaly', sha256('watchdog|' || id || '|' || why), CASE id WHEN 'nations' THEN 4 ELSE 1 END FROM {_REASONS}""")
+def check_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """A whole check run with what it leaves behind: one anomaly seen three times before, one new, a baseline that moves, history."""
+    register(spark, d, "orders", "nation", "region")
+    seen = F.sha2(F.lit("watchdog|nations|count 25.0 > max 3.0"), 256)
+    known = spark.range(1).select(seen.alias("fingerprint"), F.lit("ANOMALY_OPEN").alias("state"), F.lit(3).alias("seen_count"))
+    now = F.lit("2026-02-01T00:00:00Z").cast("timestamp")
+    base = spark.range(1).select(F.lit("regions").alias("check_id"), F.lit(5.5).alias("value"), now.alias("recorded_at"))
+    past = spark.createDataFrame([("nations", 1, 25.0)], "check_id string, run long, value double")
+    r = K.cycle(spark, CYCLE, base, known, past, now)
+    part = lambda of, name, value, df: df.select(F.lit(of).alias("part"), name.alias("name"), value.cast("double").alias("value"))
+    total = r["summary"].select(F.explode(F.create_map(F.lit("passed"), "passed", F.lit("failed"), "failed")).alias("k", "v"))
+    return (part("summary", F.col("k"), F.col("v"), total).unionByName(part("baseline", F.col("check_id"), F.col("value"), r["baselines"])).unionByName(part("anomaly", F.col("fingerprint"), F.col("seen_count"), r["anomalies"]))
+            .unionByName(part("history", F.col("check_id"), F.col("n"), r["history"].groupBy("check_id").agg(F.count("*").alias("n")))))
+
+
 _PASSTHROUGH = "SELECT n_name, count(*) AS customers, max(c_acctbal) AS best FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > 1"
 
 

@@ -58,9 +58,17 @@ def join_anti(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, band FROM part JOIN (VALUES ('low', 0, 1000), ('mid', 1000, 1500), ('high', 1500, 1000000)) b(band, lo, hi) ON p_retailprice >= lo AND p_retailprice < hi")
 def join_theta(spark: SparkSession, d: str) -> DataFrame:
-    # three fixed bands: a non-equi condition over literals becomes a projection
-    p = F.col("p_retailprice")
-    return load(spark, d, "part").select("p_partkey", F.when(p < 0, None).when(p < 1000, "low").when(p < 1500, "mid").when(p < 1000000, "high").alias("band")).where("band IS NOT NULL")
+    """A table of three bands, small by its making, met by a condition other than equality."""
+    bands = spark.createDataFrame([("low", 0.0, 1000.0), ("mid", 1000.0, 1500.0), ("high", 1500.0, 1000000.0)], "band string, lo double, hi double")
+    p = load(spark, d, "part").select("p_partkey", "p_retailprice")
+    return p.join(F.broadcast(bands), (F.col("p_retailprice") >= F.col("lo")) & (F.col("p_retailprice") < F.col("hi"))).select("p_partkey", "band")
+
+
+@query("SELECT r_name, season FROM region, (VALUES ('winter'), ('spring'), ('summer'), ('autumn')) s(season)")
+def join_cross(spark: SparkSession, d: str) -> DataFrame:
+    """Regions, of which there are five whatever the scale, by the four seasons."""
+    seasons = spark.createDataFrame([(x,) for x in ("winter", "spring", "summer", "autumn")], "season string")
+    return load(spark, d, "region").crossJoin(F.broadcast(seasons)).select("r_name", "season")
 
 
 @query("""SELECT v.event_id, count(*) AS errors_before FROM events v JOIN events e ON e.user_id = v.user_id AND e.event_type = 'error' AND e.ts <= v.ts AND e.ts >= v.ts - INTERVAL 1 HOUR
