@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import incidents as I, numbering
@@ -19,8 +20,6 @@ def test_decisions(spark):
     c = [F.col(x) for x in ("state", "seen", "detected", "notified")]
     assert [r[0] for r in df.select(I.decide(*c, F.col("new"), F.lit(NOW))).collect()] == [r[5] for r in rows]
     assert df.where("state = 'RESOLVED'").select(I.decide(*c, None, F.lit(NOW))).first()[0] == "reopened"
-    e = lambda t: None if t is None else int((t - datetime(1970, 1, 1)).total_seconds())
-    assert [lifecycle.reason(r[0], r[1] or 0, e(r[2]), e(r[3]), e(r[4]), e(NOW)) for r in rows] == [r[5] for r in rows]
 
 
 def test_running_count_of_a_hot_key(spark):
@@ -34,29 +33,50 @@ def test_running_count_of_a_hot_key(spark):
     assert {r.i: r.n for r in df.collect()} == want
 
 
-def test_stream_step_equals_batch(spark):
-    class State:
-        exists, hasTimedOut, get = False, False, None
-
-        def update(self, x):
-            self.exists, self.get = True, x
-
-    import pandas as pd
-
-    rng = random.Random(2)
-    keys, states, got, want, seen = [rng.choice("ab") for _ in range(60)], {}, {}, {}, {}
-    for at in range(0, 60, 7):
-        for k in "ab":
-            ids = [i for i in range(at, min(at + 7, 60)) if keys[i] == k]
-            if ids:
-                f = pd.DataFrame({"delivery_id": ids[::-1], "detected": 5, "now": 5})
-                for out in lifecycle.step((k,), iter([f]), states.setdefault(k, State())):
-                    got.update({r.delivery_id: (r.seen_count, r.reason) for r in out.itertuples()})
-    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "delivery_id long, fp string")
-    want = {r.delivery_id: (r.seen_count_now, r.reason) for r in I.sequence(df, F.col("fp")).collect()}
+def by_hand(events, confirm, start):
+    """The life cycle one event after another: the definition the folded batches are held against."""
+    state, out = dict(start), {}
+    for i, key, detected, now in events:
+        s, seen, d, told_at = state.get(key, (None, 0, None, None))
+        if s is None:
+            why = "new"
+        elif s == "NOTIFIED":
+            why = "already_notified"
+        elif s == "RESOLVED":
+            why = "reopened" if detected != d and detected is not None else "resolved_same_event"
+        elif s == "ESCALATED" and told_at is None:
+            why = "escalated_retry"
+        elif seen > 1 and seen % 10 == 0:
+            why = "renotify_count"
+        else:
+            ref = told_at if told_at is not None else d
+            why = "renotify_age" if ref is not None and (now - ref) / 3600 >= 24 else "duplicate"
+        told = why in ("new", "reopened", "escalated_retry", "renotify_count", "renotify_age")
+        s, seen, d, told_at = ("DETECTED", 1, detected, None) if why in ("new", "reopened") else (s, seen + 1, d, told_at)
+        if confirm and told:
+            s, told_at = "NOTIFIED", now
+        state[key] = s, seen, d, told_at
+        out[i] = key, seen, why, told
+    return out, state
+
+
+@pytest.mark.parametrize("confirm", [False, True])
+def test_folded_batches_equal_one_event_after_another(spark, monkeypatch, confirm):
+    monkeypatch.setattr(I, "BLOCK", 16)
+    rng = random.Random(3)
+    start = {"r": ("RESOLVED", 4, 50, 60), "e": ("ESCALATED", 2, 50, None), "n": ("NOTIFIED", 9, 50, 60), "d": ("DETECTED", 9, 50, None), "f": ("FIXING", 3, None, None)}
+    events = [(i, rng.choice("aabrendf"), rng.choice([50, 50, 50, 700, None]), rng.choice([100, 90_000])) for i in range(150)]
+    want, state = by_hand(events, confirm, start)
+    stored, got = spark.createDataFrame([(k, *v) for k, v in start.items()], lifecycle.STATE), {}
+    for at in range(0, 150, 60):
+        batch = spark.createDataFrame([(k, i, d, n) for i, k, d, n in events[at:at + 60]], "fingerprint string, delivery_id long, detected long, now long").repartition(3)
+        folded = lifecycle.fold_batch(batch, stored, confirm).collect()
+        got.update({r.delivery_id: (r.fingerprint, r.seen_count, r.reason, r.told) for r in folded})
+        folded = spark.createDataFrame(folded, "fingerprint string, delivery_id long, seen_count long, reason string, told boolean, n long, detected long, now long")
+        stored = spark.createDataFrame(lifecycle.next_state(folded, stored, confirm).collect(), lifecycle.STATE)
     assert got == want
-    for out in lifecycle.step(("z",), iter([pd.DataFrame({"delivery_id": [1, 2], "detected": 5, "now": 5})]), State(), confirm=True):
-        assert list(out.reason) == ["new", "already_notified"]
+    assert {r.fingerprint: tuple(r)[1:] for r in stored.collect()} == state
+    assert {r.fingerprint for r in lifecycle.next_state(folded.limit(0), stored, confirm, 10**9).collect()} <= {"f", "a", "b"}
 
 
 def test_messages_and_paths(spark):
