@@ -88,9 +88,15 @@ def chunk_code(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", "chunk", F.col("c.symbol_hint").alias("hint"), F.md5(F.col("c.text")).alias("piece"))
 
 
-@query()
+@query(r"""WITH RECURSIVE c AS (SELECT DISTINCT ON (id) * FROM chunks WHERE lang = 'sql' ORDER BY id),
+s AS (SELECT id, text, list_filter(list_transform(regexp_split_to_array(text, ';\s*\n'), lambda x: """ + _STRIP.format("x") + r"""), lambda x: x <> '') AS s FROM c),
+p AS (SELECT id, s, 1 AS i, 0 AS g, length(s[1]) AS n FROM s WHERE len(s) > 1
+  UNION ALL SELECT id, s, i + 1, CASE WHEN n + length(s[i + 1]) > 1200 THEN g + 1 ELSE g END, CASE WHEN n + length(s[i + 1]) > 1200 THEN length(s[i + 1]) ELSE n + 1 + length(s[i + 1]) END FROM p WHERE i < len(s)),
+k AS (SELECT id, g AS chunk, string_agg(s[i], chr(10) ORDER BY i) AS piece FROM p GROUP BY 1, 2
+  UNION ALL SELECT id, j, substr(text, j * 1000 + 1, 1200) FROM (SELECT id, text, unnest(range(greatest(0, CAST(ceil((length(text) - 1200) / 1000.0) AS BIGINT)) + 1)) AS j FROM s WHERE len(s) <= 1))
+SELECT id, chunk, length(piece) AS length, md5(piece) AS piece FROM k""")
 def chunk_sql(spark: SparkSession, d: str) -> DataFrame:
-    """Every indexed piece of SQL as a file: statements packed up to the size. Folded, so tested against a loop instead of SQL."""
+    """Every indexed piece of SQL as a file: statements packed up to the size."""
     x = load(spark, d, "chunks").where("lang = 'sql'").dropDuplicates(["id"]).select("id", F.posexplode(T.chunks(F.lit("R/f.sql"), F.col("text"))).alias("chunk", "c"))
     return x.select("id", "chunk", F.length("c.text").alias("length"), F.md5(F.col("c.text")).alias("piece"))
 
@@ -107,9 +113,11 @@ def text_functions(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", T.slug("text").alias("slug"), F.array_sort(T.env_keys("text")).alias("env_keys"), F.length("text").cast("long").alias("n"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, text, string_split(regexp_replace(text, '\r\n?|\n', chr(10), 'g'), chr(10)) AS a FROM documents), m AS (SELECT doc_id, text, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM l),
+n AS (SELECT doc_id, text, len(a) AS n, list_transform(range(1, len(a) + 1), lambda i: CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END || '| ' || a[i]) AS a FROM m)
+SELECT doc_id, CASE WHEN length(text) > 2000 AND n >= 10 THEN array_to_string(a[1:35], chr(10)) || CASE WHEN n > 35 THEN chr(10) || '... [lines 36-' || n || ' truncated] ...' ELSE '' END ELSE coalesce(array_to_string(a, chr(10)), '') END AS excerpt FROM n""")
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
-    """Every document within 2,000 code points, lines numbered, around its tenth line. Tested against a loop."""
+    """Every document within 2,000 code points, lines numbered, around its tenth line."""
     return load(spark, d, "documents").select("doc_id", T.excerpt("text", 2000, F.lit(10)).alias("excerpt"))
 
 
@@ -184,9 +192,11 @@ def bulk_replace(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.col("path").alias("doc_id"), F.md5(F.col("content")).alias("content"), F.size("lines").cast("long").alias("n"))
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, text, chr(10) || '## ' AS h, string_split(text, chr(10) || '## ') AS a FROM documents),
+n AS (SELECT doc_id, text, array_to_string(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN i = len(a) THEN a[i] WHEN contains(substr(h || coalesce(array_to_string(a[i + 1:], chr(10) || '## '), ''), 1, 164), '(checked)') THEN a[i] || h ELSE a[i] || h || '(checked) ' END), '') AS content FROM s)
+SELECT doc_id AS path, content, CAST((length(content) - length(text)) / 10 AS INT) AS changes FROM n""")
 def bulk_append(spark: SparkSession, d: str) -> DataFrame:
-    """A note after each heading that has none yet. Looks ahead in the original text, so tested against a loop instead of SQL."""
+    """A note after each heading that has none yet, as far as the original text shows."""
     return E.bulk_append(load(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")), "\n## ", "(checked) ", "(checked)")
 
 
@@ -218,9 +228,19 @@ def prose_flags(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "eval_items").select("item_id", F.size(T.table_candidates("text")).alias("names"), T.needs_schema("text").alias("needs_schema"), T.speaks_of_drift("text").alias("drift"))
 
 
-@query()
+def _quoted(s: str) -> str:
+    return s.replace("'", "''")
+
+
+@query(f"""WITH f AS (SELECT doc_id, repo, text, list_concat(regexp_extract_all(text, '{_quoted(T.PROSE_PATH)}', 1), regexp_extract_all(text, '{_quoted(T.PASSAGE_HEADER.replace("(?md)", "(?m)"))}', 1)) AS a FROM documents),
+g AS (SELECT doc_id, repo, text, list_transform(list_transform(a, lambda x: regexp_replace(trim(x), '^[`"'']+|[`"'']+$', '', 'g')), lambda x: CASE WHEN lower(substr(x, 1, 6)) = 'repos/' THEN substr(x, 7) ELSE x END) AS a FROM f),
+h AS (SELECT doc_id, text, list_filter(list_transform(list_filter(a, lambda x: x <> '' AND NOT starts_with(x, 'http')), lambda x: CASE WHEN coalesce(repo, '') <> '' AND starts_with(x, repo || '/') THEN substr(x, length(repo) + 2) ELSE x END),
+  lambda x: x <> '' AND NOT starts_with(x, '/') AND NOT list_contains(string_split(x, '/'), '..')) AS a,
+  list_filter(list_transform(regexp_extract_all(' ' || regexp_replace(text, '([^{_W}])', '\\1\\1', 'g') || ' ', '[^{_W}]([A-Za-z_][A-Za-z0-9_]{{2,}})[^{_W}]', 1), lambda x: lower(x)), lambda x: x NOT IN ({", ".join(f"'{w}'" for w in T.NO_TABLES)})) AS t FROM g)
+SELECT doc_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS paths, CASE WHEN contains(text, coalesce(a[1], '')) THEN TRY_CAST(regexp_extract(text, '(?i)line\\s+(\\d+)', 1) AS INT) END AS line,
+list_filter(t, lambda x, i: list_position(t, x) = i)[1:5] AS tables, contains(text, '<<<<<<<') OR contains(text, '=======') AND contains(text, '>>>>>>>') AS conflict FROM h""")
 def prose_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Paths each document names, relative to its repository, with the line it mentions and its table candidates. Tested on literals."""
+    """Paths each document names, relative to its repository, with the line it mentions and its table candidates."""
     x = load(spark, d, "documents").select("doc_id", "repo", "text", T.discover_paths(F.lit(None).cast("array<string>"), F.col("text"), F.lit(""), F.col("text"), F.col("repo")).alias("paths"))
     return x.select("doc_id", "paths", T.line_mention(F.coalesce(F.try_element_at("paths", F.lit(1)), F.lit("")), F.col("text")).alias("line"), T.table_candidates("text").alias("tables"), T.has_conflict("text").alias("conflict"))
 

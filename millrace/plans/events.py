@@ -43,9 +43,14 @@ def event_normalize(spark: SparkSession, d: str) -> DataFrame:
     return n.select("delivery_id", "detected_at", "source", "severity", "tool", "repos_name", "message", (F.col("stack_trace") != "").alias("traced"))
 
 
-@query()
+@query(r"""WITH e AS (SELECT delivery_id, coalesce(mac_payload->>'module', '') AS module, coalesce(mac_payload->>'cwd', '') AS cwd, mac_payload->>'$.argv[0]' AS a, coalesce(mac_payload->>'stderr', raw_stderr_tail, '') AS err FROM incidents),
+m AS (SELECT module, min(repos_name) AS mapped FROM path_map GROUP BY 1), k AS (SELECT *, '/srv/rights/REPOS/' || module || '/' AS pre, '/REPOS/' || module || '/' AS mark, regexp_extract_all(err, 'File "([^"]+)", line (\d+)', 1) AS f FROM e)
+SELECT delivery_id, coalesce(nullif(mapped, ''), nullif(k.module, ''), 'UNKNOWN') AS repos_name,
+coalesce(list_filter(list_transform(f, lambda p: CASE WHEN starts_with(p, pre) THEN substr(p, length(pre) + 1) WHEN contains(p, mark) THEN substr(p, instr(p, mark) + length(mark)) END), lambda p: p IS NOT NULL)[1],
+  CASE WHEN starts_with(a, './') THEN substr(a, 3) WHEN NOT contains(a, '/') THEN a END,
+  CASE WHEN starts_with(cwd, pre) THEN coalesce(nullif(split_part(rtrim(substr(cwd, length(pre) + 1), '/'), '/', -1), ''), '.') END, '') AS repos_rel_path FROM k LEFT JOIN m ON m.module = k.module""")
 def event_rel_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The failing file of each event. Regular expressions over frames; tested on literals."""
+    """The failing file of each event."""
     return I.normalize(EV.from_payload(load(spark, d, "incidents")), load(spark, d, "path_map")).select("delivery_id", "repos_name", "repos_rel_path")
 
 
@@ -83,7 +88,11 @@ def classify_text(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "incidents").select("delivery_id", I.fault(said, F.col("kind")).alias("fault"), I.template(F.col("tool"), said).alias("template"))
 
 
-@query()
+@query(r"""WITH m AS (SELECT *, coalesce(tool, '') AS t, coalesce(module, '') AS md, regexp_replace(regexp_replace(trim(coalesce(message, '')), '^\[ERR\]\s*', '', 'i'), '^Error:\s*', '', 'i') AS m FROM incidents),
+h AS (SELECT *, regexp_extract(m, '(?i)^file not found:\s*(.+)', 1) AS missing, upper(substr(m, 1, 1)) || substr(m, 2) AS up FROM m)
+SELECT delivery_id, substr(CASE WHEN starts_with(t, 'cron_') THEN replace(substr(t, 6), '_', ' ') WHEN md <> '' THEN replace(md, '-', ' ') WHEN t <> '' THEN replace(t, '_', ' ') ELSE 'a job' END || ' failed: ' ||
+CASE WHEN kind = 'timeout' THEN 'The job timed out.' WHEN m IN ('', '(no stderr)') THEN CASE WHEN coalesce(returncode, 0) <> 0 THEN 'The script failed (exit code ' || returncode || ').' ELSE 'Something went wrong.' END
+WHEN missing <> '' THEN 'Couldn''t find the file ' || trim(missing) || '.' WHEN starts_with(lower(m), 'traceback') THEN 'The script crashed.' WHEN ends_with(m, '.') THEN up ELSE up || '.' END || ' (ref ' || substr(coalesce(fingerprint, ''), 1, 8) || ')', 1, 320) AS text FROM h""")
 def notification_text(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "incidents").select("delivery_id", I.notification(F.col("tool"), F.col("module"), F.col("message"), F.col("kind"), F.col("returncode"), F.coalesce("fingerprint", F.lit(""))).alias("text"))
 
@@ -150,9 +159,13 @@ def _history(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").groupBy(F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string")).alias("check_id"), day.alias("run")).agg(F.count("*").cast("double").alias("value"))
 
 
-@query()
+@query("""WITH RECURSIVE h AS (SELECT 'u' || (user_id % 5) AS check_id, date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts)) AS run, count(*)::DOUBLE AS value FROM events GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY run) AS i FROM h),
+b AS (SELECT check_id, run, value, i, NULL::DOUBLE AS baseline, true AS passed FROM o WHERE i = 1
+  UNION ALL SELECT check_id, run, value, i, base, base = 0 OR abs(value - base) / abs(base) * 100 <= 10 FROM (SELECT o.*, CASE WHEN b.passed THEN b.value ELSE b.baseline END AS base FROM o JOIN b ON o.check_id = b.check_id AND o.i = b.i + 1))
+SELECT check_id, run, value, baseline, passed FROM b""")
 def check_rolling_baseline(spark: SparkSession, d: str) -> DataFrame:
-    """Each day's count against the last passing day's. A fold, so tested against a loop instead of SQL."""
+    """Each day's count against the last passing day's."""
     return K.rolling_baseline(_history(spark, d), 10.0)
 
 
