@@ -73,7 +73,7 @@ def write(root, files):
 
 
 def test_incremental_index(spark, tmp_path):
-    root, chunks, manifest = tmp_path / "repos", Store(spark, str(tmp_path / "chunks")), Store(spark, str(tmp_path / "manifest"))
+    root, chunks, manifest = tmp_path / "repos", Store(spark, str(tmp_path / "chunks"), ("collection", "path"), 4), Store(spark, str(tmp_path / "manifest"), ("collection", "rel_path"), 4)
     write(root, {"A/README.md": "hello", "A/x.py": "print(1)\n" * 400, "A/node_modules/y.js": "no", "A/.env": "S=1", "B/z.sh": "echo \xff".encode("latin-1"), "SQL-SCRIPTS/q.sql": "select 1;\nselect 2;\n", "A/img.png": "x"})
     files = lambda: tree.collections(tree.scan(spark, str(root)))
     assert index(spark, files(), chunks, manifest) == (5, 0)
@@ -122,3 +122,36 @@ def test_anomalies(spark):
     r = spark.createDataFrame([("a", False, 3.0, "count 3.0 > max 0.0", None, "w"), ("b", True, 1.0, "x", None, "w"), ("c", False, None, None, "boom", "w")], "check_id string, passed boolean, metric_value double, reason string, error string, severity string")
     known = spark.range(1).select(K.anomaly_fingerprint(F.lit("a"), F.lit(3.0), F.lit("count 3.0 > max 0.0")).alias("fingerprint"), F.lit("ANOMALY_OPEN").alias("state"), F.lit(4).alias("seen_count"))
     assert {x.check_id: (x.seen_count, x.new) for x in K.anomalies(r, known).collect()} == {"a": (5, False), "c": (1, True)}
+
+
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_store(spark, tmp_path, keys):
+    s = Store(spark, str(tmp_path / "t"), keys, 8)
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v string")
+    got = lambda: sorted(map(tuple, s.read().collect()))
+    assert s.read("k long, v string").count() == 0 and s.current() is None
+    s.replace(frame([(i, "a") for i in range(40)]))
+    before = s.current()
+    s.upsert(frame([(3, "b"), (99, "b")]), ("k",))
+    assert got() == sorted([(i, "b" if i == 3 else "a") for i in range(40)] + [(99, "b")])
+    if keys:
+        kept = sum(s.current()[b] == f for b, f in before.items())
+        assert kept >= len(before) - 2  # only the buckets that were touched are written again
+    held = s.read()
+    s.append(frame([(3, "c")]))
+    assert len(got()) == 42 and held.count() == 41
+    s.change(frame([(3, "")]).select("k"), lambda stored: stored.where("k <> 3"))
+    assert (3, "c") not in got() and len(got()) == 40
+    s.change(frame([(i, "") for i in range(100)]).select("k"), lambda stored: stored.where("k < 0"))
+    assert s.read("k long, v string").count() == 0
+    s.append(frame([(1, "z")]))
+    assert got() == [(1, "z")]
+
+
+def test_a_dead_run_leaves_the_current_version(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "t"), ("k",), 4)
+    s.replace(spark.range(20).select(F.col("id").alias("k")))
+    boom = F.udf(lambda k: 1 // (k - 7), "long")
+    with pytest.raises(Exception):
+        s.change(spark.range(20).select(F.col("id").alias("k")), lambda stored: stored.select(boom("k").alias("k")))
+    assert s.read().count() == 20
