@@ -17,9 +17,9 @@ def stream_json(spark: SparkSession, path: str, files_a_batch: int = 100) -> Dat
     return spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_a_batch).json(path)
 
 
-def latest(events: DataFrame, n: int = 50) -> DataFrame:
-    """The newest events, as a poll would fetch them; one ordered cut, no full sort."""
-    return events.orderBy(F.desc("ts")).limit(n)
+def latest(events: DataFrame, n: int = 50, *ties: str) -> DataFrame:
+    """The newest events, as a poll would fetch them, equal times in the order of `ties`; one ordered cut, no full sort."""
+    return events.orderBy(F.desc_nulls_last("ts"), *ties).limit(n)
 
 
 def from_payload(table: DataFrame, payload: str = "mac_payload", stderr: str = "raw_stderr_tail") -> DataFrame:
