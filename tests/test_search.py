@@ -107,3 +107,58 @@ def test_routing(spark):
     assert [r[0] for r in df.select(i).collect()] == ["discrepancy", "general", "general", "incident", "discrepancy"]
     assert df.select(S.intent(F.col("q"), F.col("i"), strict_stems=False)).collect()[1][0] == "discrepancy"
     assert [r[0] for r in df.select(S.routed(i, F.col("q"))).collect()][2:4] == [["repos", "docs", "sql"], ["playbooks", "docs", "repos"]]
+
+
+def test_several_blocks_of_queries_change_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(f"d{i}", rng.choice(["repos", "docs"]), " ".join(rng.choices(words, k=rng.randrange(1, 40)))) for i in range(80)], "id string, collection string, text string").repartition(4)
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words + ["none"], k=3)) if i else None) for i in range(7)], "item_id long, query string")
+    vec = spark.createDataFrame([(i, [float(rng.randrange(-3, 4)) for _ in range(4)], rng.choice(["a", "b", None]), rng.choice(["x", "y"])) for i in range(60)], "vec_id long, embedding array<double>, scope string, kind string").repartition(3)
+    run = lambda: ([tuple(r) for r in S.bm25_topk(docs, asked, 4).orderBy("query_id", "collection", "rank").collect()],
+                   [tuple(r) for r in S.vector_topk(vec, vec.where("vec_id < 9"), 3, group="kind", scope="scope").orderBy("query_id", "kind", "rank").collect()])
+    one = run()
+    monkeypatch.setattr(S, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(S, "SLICE", 16)
+    assert run() == one and len(one[0]) > 20 and len(one[1]) > 20
+    rows = {r.vec_id: r for r in vec.collect()}
+    for q, kind in {(r[0], r[3] if isinstance(r[3], str) else r[2]) for r in one[1]}:
+        a = rows[q]
+        d = sorted((round(1 - float(np.dot(a.embedding, v.embedding)) / (np.linalg.norm(a.embedding) * np.linalg.norm(v.embedding)), 6), v.vec_id) for v in rows.values()
+                   if v.vec_id != q and v.kind == kind and any(v.embedding) and (a.scope is None or v.scope is None or v.scope == a.scope))[:3]
+        got = S.vector_topk(vec, vec.where(F.col("vec_id") == q), 3, group="kind", scope="scope").where(F.col("kind") == kind).orderBy("rank").collect() if q == 1 else None
+        assert got is None or [(r.distance, r.id) for r in got] == d
+
+
+def test_hybrid_against_loop(spark):
+    """The whole of retrieval for one query after another: lists concatenated in routing order, boosted, fused, documents first."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(f"{c}{i:02d}", c, rng.choice(["A", "B"]), "doc" if c == "docs" else "code", " ".join(rng.choices(words, k=12))) for c in ("repos", "docs") for i in range(15)] + [("s1", "sql", "SQL-SCRIPTS", "code", "w1 w2"), ("s2", "sql", "A", "code", "w1 w2")]
+    corpus = spark.createDataFrame(rows, "id string, collection string, repo string, kind string, text string").withColumn("vec", S.hash_embedding("text"))
+    asked = [(1, "w1 w2 w3", ["repos", "docs"], "A"), (2, "w4 w5", ["docs", "repos", "sql"], None), (3, "zz yy", ["repos"], "B"), (4, "w7", ["docs"], "")]
+    queries = spark.createDataFrame(asked, "query_id long, query string, route array<string>, repo string").withColumn("vec", S.hash_embedding("query"))
+    vec = {r.id: np.array(r.vec) for r in corpus.collect()}
+    qvec = {r.query_id: np.array(r.vec) for r in queries.collect()}
+    info = {r[0]: r for r in rows}
+    words_found = {}
+    for r in S.bm25_topk(corpus, queries, query_id="query_id").orderBy("rank").collect():
+        words_found.setdefault((r.query_id, r.collection), []).append((r.id, r.score))
+    for hybrid in (True, False):
+        got = {}
+        for r in S.retrieve(corpus, queries, 5, hybrid).orderBy("place").collect():
+            got.setdefault(r.query_id, []).append((r.id, round(r.distance, 6)))
+        for q, _, route, repo in asked:
+            fan, vector, lexical = max(2, 5 // len(route) + 1), [], []
+            for c in route:
+                mine = [i for i, x in info.items() if x[1] == c and (c != "sql" or x[2] == "SQL-SCRIPTS") and (not repo or c == "sql" or x[2] == repo)]
+                d = sorted((round(1 - float(qvec[q] @ vec[i]) / float(np.linalg.norm(qvec[q]) * np.linalg.norm(vec[i])), 6), i) for i in mine)[:fan]
+                vector += [(i, round(x / (1.35 if info[i][3] == "doc" else 1.0), 6)) for x, i in d]
+                lexical += [(i, round(1 / (1 + s), 6)) for i, s in words_found.get((q, c), [])] if hybrid else []
+            score, first = {}, {}
+            for w, part in ((0.7, vector), (1 - 0.7, lexical)):
+                for n, (i, d) in enumerate(part):
+                    score[i] = score.get(i, 0) + w / (60 + n + 1)
+                    first.setdefault(i, d)
+            want = sorted(score, key=lambda i: -round(score[i], 9)) if lexical else [i for i, _ in sorted(vector, key=lambda x: x[1])]
+            assert got[q] == [(i, first[i]) for i in want[:5]], (hybrid, q)
