@@ -5,6 +5,8 @@ All of them are built from Spark's own functions and stay in the JVM. Lengths co
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 CHUNK_SIZE, CHUNK_OVERLAP = 1200, 200
@@ -38,6 +40,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def redact(c: Column | str) -> Column:
     """The text after every rule, in their order."""
     out = _col(c)
@@ -169,8 +176,11 @@ def line_no(n: Column) -> Column:
 
 def excerpt(c: Column | str, most: int, centre: Column | None = None) -> Column:
     """A text within about `most` code points, lines numbered: whole if it fits, else around a line, else head and tail."""
-    t = _col(c)
-    ls, n = lines(t), F.size(lines(t))
+    return let(lines(_col(c)), lambda ls: _excerpt(_col(c), ls, most, centre))
+
+
+def _excerpt(t: Column, ls: Column, most: int, centre: Column | None) -> Column:
+    n = F.size(ls)
     half, edge = max(20, most // 80), max(most // 2 // 80, 1)
 
     def part(first: Column, last: Column) -> Column:
@@ -180,7 +190,7 @@ def excerpt(c: Column | str, most: int, centre: Column | None = None) -> Column:
     omitted = n - F.least(F.lit(edge), n) - tail
     ends = F.concat(part(F.lit(1), F.least(F.lit(edge), n)), F.when(omitted > 0, F.concat(F.array(F.concat(F.lit("... ["), omitted.cast("string"), F.lit(" lines truncated] ..."))), part(n - tail + 1, n)))
                     .otherwise(F.array().cast("array<string>")))
-    whole = F.when(F.length(t) <= most, number_lines(t)).when(n == 0, "").otherwise(F.array_join(ends, "\n"))
+    whole = F.when(F.length(t) <= most, F.array_join(part(F.lit(1), n), "\n")).when(n == 0, "").otherwise(F.array_join(ends, "\n"))
     if centre is None:
         return whole
     a, b = F.greatest(F.lit(1), centre - half), F.least(n, centre + half)

@@ -6,10 +6,11 @@ is never one group in one task: its running numbers are prefix sums over blocks
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.functions.text import let
 from millrace.operators.numbering import running_count
 
 RENOTIFY_EVERY, RENOTIFY_HOURS = 10, 24
@@ -41,8 +42,9 @@ def text_or(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def any_of(hints: tuple[str, ...]) -> str:
-    return "|".join(re.escape(h) for h in hints)
+def any_of(said: Column, hints: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the hints; plain searches, far cheaper than one pattern of alternatives."""
+    return reduce(lambda a, b: a | b, [said.contains(h) for h in hints])
 
 
 # --- normalizing -----------------------------------------------------------------------------------------------------
@@ -58,19 +60,25 @@ def _lines(c: Column) -> Column:
 
 def message_from_stderr(stderr: Column) -> Column:
     """The last line that says something: not a traceback's first, nor 'During handling'; at most 240 code points."""
-    ls = _lines(text_or(stderr))
-    said = F.filter(ls, lambda x: ~(x.startswith("Traceback") | x.startswith("During handling")))
-    return F.when(F.size(ls) == 0, "(no stderr)").otherwise(F.substring(F.coalesce(F.try_element_at(said, F.lit(-1)), F.try_element_at(ls, F.lit(-1))), 1, 240))
+    def last(ls: Column) -> Column:
+        said = F.filter(ls, lambda x: ~(x.startswith("Traceback") | x.startswith("During handling")))
+        return F.when(F.size(ls) == 0, "(no stderr)").otherwise(F.substring(F.coalesce(F.try_element_at(said, F.lit(-1)), F.try_element_at(ls, F.lit(-1))), 1, 240))
+
+    return let(_lines(text_or(stderr)), last)
 
 
 def message_from_stdio(stdout: Column, stderr: Column) -> Column:
     """Error text rather than warning noise: stderr's message, else the last error-like line of stdout without its log prefix."""
-    err = F.when(F.regexp_replace(text_or(stderr), r"(?U)\s+", "") == "", "").otherwise(message_from_stderr(stderr))
-    bad = F.try_element_at(F.filter(_lines(text_or(stdout)), lambda x: x.rlike(ERROR)), F.lit(-1))
-    cut = F.trim(F.regexp_replace(bad, LOG_PREFIX, ""))
-    found = F.substring(F.when(cut != "", cut).otherwise(bad), 1, 240)
-    use = (err != "") & (err != "(no stderr)")
-    return F.when(use & ~err.rlike(WARNING), err).when(found.isNotNull(), found).when(use, err).otherwise("(no stderr)")
+    def shown(bad: Column) -> Column:
+        cut = F.trim(F.regexp_replace(bad, LOG_PREFIX, ""))
+        return F.substring(F.when(cut != "", cut).otherwise(bad), 1, 240)
+
+    def chosen(err: Column) -> Column:
+        found = let(F.try_element_at(F.filter(_lines(text_or(stdout)), lambda x: x.rlike(ERROR)), F.lit(-1)), shown)
+        use = err != "(no stderr)"  # what a blank stderr gives as well
+        return F.when(use & ~err.rlike(WARNING), err).otherwise(F.coalesce(found, err))
+
+    return let(message_from_stderr(stderr), chosen)
 
 
 def source_of(tool: Column) -> Column:
@@ -162,7 +170,7 @@ SAID = ("message", "stack_trace", "raw_stderr_tail", "kind", "tool", "module")
 
 def fault(said: Column, kind: Column) -> Column:
     """host or code; a timeout and whatever is unknown is the host's."""
-    return F.when(kind == "timeout", "host").when(said.rlike(any_of(HOST_HINTS)), "host").when(said.rlike(any_of(CODE_HINTS)), "code").otherwise("host")
+    return F.when(kind == "timeout", "host").when(any_of(said, HOST_HINTS), "host").when(any_of(said, CODE_HINTS), "code").otherwise("host")
 
 
 def joined(names: Column) -> Column:
@@ -177,8 +185,8 @@ def joined(names: Column) -> Column:
 def template(tool: Column, said: Column) -> Column:
     """Which known fault a record is, in the order of the rules; null if none."""
     low = F.lower(said)
-    return (F.when(tool == "cron_pull_all", "pull_all").when(tool == "cron_sync_backup", "backup").when(tool == "api_gateway", "gateway").when(low.rlike(any_of(DISK_HINTS)), "disk")
-            .when(~low.contains("traceback") & low.rlike(any_of(DATABASE_HINTS)), "database"))
+    return (F.when(tool == "cron_pull_all", "pull_all").when(tool == "cron_sync_backup", "backup").when(tool == "api_gateway", "gateway").when(any_of(low, DISK_HINTS), "disk")
+            .when(~low.contains("traceback") & any_of(low, DATABASE_HINTS), "database"))
 
 
 def failed_pulls(said: Column) -> Column:

@@ -84,8 +84,8 @@ _ANY = lambda hints: "(" + " OR ".join("contains(b, '" + h.replace("'", "''") +
 SELECT delivery_id, CASE WHEN kind = 'timeout' THEN 'host' WHEN {_ANY(I.HOST_HINTS)} THEN 'host' WHEN {_ANY(I.CODE_HINTS)} THEN 'code' ELSE 'host' END AS fault,
 CASE WHEN tool = 'cron_pull_all' THEN 'pull_all' WHEN tool = 'cron_sync_backup' THEN 'backup' WHEN tool = 'api_gateway' THEN 'gateway' WHEN {_ANY(I.DISK_HINTS)} THEN 'disk' WHEN NOT contains(b, 'traceback') AND {_ANY(I.DATABASE_HINTS)} THEN 'database' END AS template FROM x""")
 def classify_text(spark: SparkSession, d: str) -> DataFrame:
-    said = I.blob(*I.SAID)
-    return load(spark, d, "incidents").select("delivery_id", I.fault(said, F.col("kind")).alias("fault"), I.template(F.col("tool"), said).alias("template"))
+    said = F.col("said")
+    return load(spark, d, "incidents").select("delivery_id", "kind", "tool", I.blob(*I.SAID).alias("said")).select("delivery_id", I.fault(said, F.col("kind")).alias("fault"), I.template(F.col("tool"), said).alias("template"))
 
 
 @query(r"""WITH m AS (SELECT *, coalesce(tool, '') AS t, coalesce(module, '') AS md, regexp_replace(regexp_replace(trim(coalesce(message, '')), '^\[ERR\]\s*', '', 'i'), '^Error:\s*', '', 'i') AS m FROM incidents),
