@@ -119,6 +119,12 @@ def normalize(raw: DataFrame, path_map: DataFrame, root: str = "/srv/rights/REPO
                     message_from_stdio(F.col("stdout"), stderr).alias("message"), F.when(stderr.contains("Traceback"), stderr).otherwise("").alias("stack_trace"), stderr.alias("raw_stderr_tail"))
 
 
+def without_known(rows: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
+    """Rows without known noise: each rule is a tool and a kind of failure that tool is known for."""
+    known = reduce(lambda a, b: a | b, [F.col("tool").eqNullSafe(t) & F.col("kind").eqNullSafe(k) for t, k in rules], F.lit(False))
+    return rows.where(~known)
+
+
 # --- folding ---------------------------------------------------------------------------------------------------------
 
 def fold(deliveries: DataFrame, key: Column, order: str = "delivery_id") -> DataFrame:

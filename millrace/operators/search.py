@@ -8,13 +8,13 @@ ever materialised beyond a slice of SLICE scores; several blocks follow one afte
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from millrace.functions import text as T
 from millrace.operators.blocks import each_block
@@ -300,7 +300,15 @@ def rrf(vector: DataFrame, lexical: DataFrame, keys: list[str], weight: float =
     return both.groupBy(query_id, *keys).agg(F.sum("s").alias("rrf_score"))
 
 
-def retrieve(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, hybrid: bool = True, forced: int = 2, vec_col: str = "vec") -> DataFrame:
+HYBRID_SETTING = "spark.millrace.hybrid"
+
+
+def use_hybrid(spark: SparkSession, explicit: bool | None = None) -> bool:
+    """Whether words are searched beside vectors: as asked for, else by the session's setting, else not."""
+    return explicit if explicit is not None else str(spark.conf.get(HYBRID_SETTING, "false")).lower() in ("1", "true", "yes")
+
+
+def retrieve(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, hybrid: bool | None = None, forced: int = 2, vec_col: str = "vec") -> DataFrame:
     """(query_id, place, collection, id, distance, rrf_score): the k best pieces of each query over its routed collections.
 
     corpus: collection, id, repo, kind, text and a vector; queries: query_id, query, route, repo and a vector. The
@@ -321,7 +329,7 @@ def retrieve(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, hybrid: bool
     listed = far.where("rank <= fan_out").withColumn("rank0", F.row_number().over(by_query.orderBy("col_pos", "rank")) - 1)
     keys = ["collection", "id"]
     both = listed.select("query_id", *keys, "distance", F.col("rank0").alias("ord"), (F.lit(VECTOR_WEIGHT) / (F.col("rank0") + RRF_K + 1)).alias("s"), F.lit(0).alias("lexical"))
-    if hybrid:
+    if use_hybrid(corpus.sparkSession, hybrid):
         words = bm25_topk(corpus, queries, LEXICAL_K, query_id="query_id").join(route, ["query_id", "collection"]).withColumn("rank0", F.row_number().over(by_query.orderBy("col_pos", "rank")) - 1)
         both = both.unionByName(words.select("query_id", *keys, F.round(1.0 / (1.0 + F.col("score")), DIGITS).alias("distance"), (F.col("rank0") + (1 << 20)).alias("ord"),
                                              (F.lit(1 - VECTOR_WEIGHT) / (F.col("rank0") + RRF_K + 1)).alias("s"), F.lit(1).alias("lexical")))
@@ -350,6 +358,33 @@ def filter_context(hits: DataFrame, max_chunks: int = MAX_CHUNKS, max_distance:
     return capped.withColumn("most", most).withColumn("rank", F.row_number().over(by_query)).where("rank <= most").drop("first", "near", "of_path", "most")
 
 
+PHRASINGS = 2
+
+
+def phrasings(requests: DataFrame) -> DataFrame:
+    """Each request (request_id, request, repo, incident) as two queries: its own words, and a question for the place to start.
+
+    Both are searched with the request's intent: an incident's, a drift's if it speaks of one, else a general one.
+    """
+    r = F.coalesce("request", F.lit(""))
+    found = intent(r)
+    kind = F.when(F.coalesce("incident", F.lit("")) != "", "incident").when((found == "general") & T.speaks_of_drift(r), "discrepancy").otherwise(found)
+    both = F.array(F.substring(r, 1, 500), F.concat(F.lit("entry point related to: "), F.substring(r, 1, 200)))
+    q = requests.select("request_id", "repo", kind.alias("kind"), F.posexplode(both).alias("phrase", "query"))
+    return q.withColumn("query_id", F.col("request_id") * PHRASINGS + F.col("phrase")).withColumn("route", routed(F.col("kind"), F.col("query")))
+
+
+def fix_context(corpus: DataFrame, requests: DataFrame, embed: Callable[[Column], Column], k: int = 4) -> DataFrame:
+    """(request_id, context, blocks): what both phrasings of a request find, as one context.
+
+    corpus: as for `retrieve`, with path and chunk.
+    """
+    q = phrasings(requests)
+    got = retrieve(corpus, q.withColumn("vec", embed(F.col("query"))), k, False).withColumn("request_id", F.floor(F.col("query_id") / PHRASINGS)).withColumn("pos", F.col("query_id") % PHRASINGS * k + F.col("place"))
+    hits = got.select(F.col("request_id").alias("query_id"), "pos", F.col("id").alias("hit_id"), "distance").join(corpus.select(F.col("id").alias("hit_id"), "collection", "repo", "path", "chunk", "text"), "hit_id")
+    return context_block(filter_context(hits)).withColumnRenamed("query_id", "request_id")
+
+
 def snippet_budget(distance: Column, most: int = MAX_CHARS, strong: float = STRONG_DISTANCE, weak: float = MAX_DISTANCE) -> Column:
     t = (distance - strong) / max(weak - strong, 1e-6)
     return F.when(distance <= strong, most).when(distance >= weak, max(120, most // 4)).otherwise(F.greatest(F.lit(120), (F.lit(float(most)) * (1.0 - 0.75 * t)).cast("int")))

@@ -115,6 +115,12 @@ def failures_by_day(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "incidents").where("detected_at IS NOT NULL").groupBy(F.floor(F.unix_micros("detected_at") / 86_400_000_000).cast("long").alias("day"), "severity").agg(F.count("*").alias("n"), F.countDistinct("tool").alias("tools"))
 
 
+@query("SELECT tool, kind, count(*) AS n FROM incidents WHERE NOT (coalesce(tool, '') = 'cron_sync_backup' AND coalesce(kind, '') = 'timeout') GROUP BY 1, 2")
+def noise_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """Failures by tool and kind, less a job that is known to run long."""
+    return I.without_known(load(spark, d, "incidents").select("tool", "kind"), (("cron_sync_backup", "timeout"),)).groupBy("tool", "kind").agg(F.count("*").alias("n"))
+
+
 # --- checks ----------------------------------------------------------------------------------------------------------
 
 CHECKS = [

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from millrace.functions import text as T
 from millrace.operators import search as S
+from millrace.session import shared_folder
+from millrace.sources import events as EV
 from millrace.tables import load
 
 QUERIES, ORACLES = {}, {}
@@ -156,7 +160,7 @@ def with_vectors(x: DataFrame, text: str) -> DataFrame:
 def retrieve_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Every evaluation case through the whole of retrieval: routing, vectors, words, fusion, boosts, documents of its repository."""
     q = cases(spark, d).select(F.col("item_id").alias("query_id"), "query", "route", "repo")
-    return S.retrieve(with_vectors(corpus(spark, d).select("id", "collection", "repo", "kind", "text"), "text"), with_vectors(q, "query"))
+    return S.retrieve(with_vectors(corpus(spark, d).select("id", "collection", "repo", "kind", "text"), "text"), with_vectors(q, "query"), hybrid=True)
 
 
 @query(_HYBRID.replace(" UNION ALL SELECT query_id, collection, id, distance, r0 + 1048576, (1 - 0.7::DOUBLE) / (r0 + 61), 1 FROM ll", "")
@@ -197,3 +201,59 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     r = eval_cases(spark, d).agg(F.count_if("ok").alias("passed"), F.count("*").alias("total"))
     rate = F.coalesce(F.try_divide(F.col("passed").cast("double"), "total"), F.lit(0.0))
     return r.select("passed", "total", rate.alias("rate"), (rate >= S.RECALL_THRESHOLD).alias("reached"))
+
+
+# --- contexts of what was retrieved --------------------------------------------------------------------------------------
+
+_VECTORS = _HYBRID.replace(" UNION ALL SELECT query_id, collection, id, distance, r0 + 1048576, (1 - 0.7::DOUBLE) / (r0 + 61), 1 FROM ll", "")
+_BLOCKS = _FILTERED.replace("WITH h AS", ", h AS").replace("FROM hits)", "FROM got)").replace("c AS (", "ca AS (").replace("FROM c WHERE o", "FROM ca WHERE o") + """, bl AS (SELECT query_id, rank, '### [' || collection || '] ' || path_key || ' (chunk ' || chunk || ')' || chr(10) || substr(coalesce(text, ''), 1,
+CAST(CASE WHEN d <= 0.4 THEN 900 WHEN d >= 0.85 THEN 225 ELSE greatest(120, trunc(900 * (1.0 - 0.75 * ((d - 0.4::DOUBLE) / (0.85::DOUBLE - 0.4::DOUBLE))))) END AS INTEGER)) AS b FROM k),
+ub AS (SELECT query_id, b, min(rank) AS rank FROM bl GROUP BY 1, 2), co AS (SELECT query_id, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS blocks FROM ub GROUP BY 1)
+"""
+_GOT = ", got AS (SELECT pl.query_id, place AS pos, pl.id AS hit_id, c.repo, c.path, c.chunk, pl.distance, c.collection, c.text FROM pl JOIN c ON c.id = pl.id)"
+_EVALUATED = _VECTORS + _GOT + _BLOCKS + """, ok AS (SELECT query_id, bool_or(coalesce(expect_path_contains, '') <> '' AND (contains(lower(coalesce(got.repo, '') || '/' || got.path), lower(expect_path_contains)) OR
+  (NOT coalesce(match_path_only, false) AND contains(lower(substr(got.text, 1, 200)), lower(expect_path_contains))))) AS ok, count(*) AS hits, min(distance) AS top FROM got JOIN eval_items ON item_id = query_id GROUP BY 1),
+ev AS (SELECT item_id, coalesce(ok, false) AS ok, coalesce(hits, 0) AS hit_count, top AS top_distance, coalesce(length(context), 0) AS context_chars, coalesce(blocks, 0) AS context_chunks FROM eval_items LEFT JOIN ok ON ok.query_id = item_id LEFT JOIN co ON co.query_id = item_id)
+"""
+
+
+def pieces(spark: SparkSession, d: str) -> DataFrame:
+    return with_vectors(corpus(spark, d).select("id", "collection", "repo", "path", "chunk", "kind", "text"), "text")
+
+
+@query(_EVALUATED + "SELECT item_id, ok, hit_count, top_distance, context_chars, context_chunks FROM ev")
+def eval_context(spark: SparkSession, d: str) -> DataFrame:
+    """One row a case of a whole evaluation: found or not, and how long a context its pieces make."""
+    c = pieces(spark, d)
+    got = S.retrieve(c, with_vectors(cases(spark, d).select(F.col("item_id").alias("query_id"), "query", "route", "repo"), "query"), hybrid=False)
+    hits = got.select("query_id", F.col("place").alias("pos"), F.col("id").alias("hit_id"), "distance").join(c.select(F.col("id").alias("hit_id"), "collection", "repo", "path", "chunk", "text"), "hit_id")
+    made = S.context_block(S.filter_context(hits)).select("query_id", F.length("context").alias("context_chars"), F.col("blocks").alias("context_chunks"))
+    e = load(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "expect_path_contains", "match_path_only")
+    right = S.matches(F.col("expect_path_contains"), F.col("repo"), F.col("path"), F.col("text"), F.col("match_path_only"))
+    found = hits.join(e, "query_id").groupBy("query_id").agg(F.bool_or(right).alias("ok"), F.count("*").alias("hit_count"), F.min("distance").alias("top_distance"))
+    rows = e.select("query_id").join(found, "query_id", "left").join(made, "query_id", "left")
+    return rows.select(F.col("query_id").alias("item_id"), F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("hit_count", F.lit(0)).alias("hit_count"), "top_distance",
+                       F.coalesce("context_chars", F.lit(0)).alias("context_chars"), F.coalesce("context_chunks", F.lit(0)).alias("context_chunks"))
+
+
+@query(_EVALUATED + "SELECT count(*) FILTER (ok) AS passed, count(*) AS total, count(*) FILTER (ok) / count(*) AS rate, round(avg(context_chars), 6) AS avg_context_chars FROM ev")
+def eval_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The evaluation in one row, written as JSON and read again."""
+    at = f"{shared_folder(spark)}/eval-{uuid.uuid4().hex}"
+    r = eval_context(spark, d).agg(F.count_if("ok").alias("passed"), F.count("*").alias("total"), F.avg(F.col("ok").cast("double")).alias("rate"), F.round(F.avg("context_chars"), 6).alias("avg_context_chars"))
+    EV.to_json(r, at)
+    return spark.read.schema(r.schema).json(at)
+
+
+_FIX = (_VECTORS.replace("WITH c AS", """WITH rq AS (SELECT item_id, coalesce(query, '') AS request, repo, CASE WHEN intent = 'incident' THEN 'x' END AS incident FROM eval_items),
+fk AS (SELECT *, CASE WHEN incident <> '' THEN 'incident' WHEN regexp_matches(request, '\\b(discrepanc|inconsisten|mismatch|out of sync|contradict|doesn''t match|doesnt match|drift)\\b', 'i') THEN 'discrepancy' WHEN """ + " OR ".join(f"contains(lower(request), '{w}')" for w in T.DRIFT_WORDS) + """ THEN 'discrepancy' ELSE 'general' END AS intent FROM rq),
+fx AS (SELECT item_id * 2 AS item_id, substr(request, 1, 500) AS query, repo, intent, NULL::VARCHAR[] AS collections FROM fk UNION ALL SELECT item_id * 2 + 1, 'entry point related to: ' || substr(request, 1, 200), repo, intent, NULL FROM fk),
+c AS""", 1).replace("FROM eval_items", "FROM fx").replace("coalesce(query, '') AS request, repo, CASE WHEN intent = 'incident' THEN 'x' END AS incident FROM fx", "coalesce(query, '') AS request, repo, CASE WHEN intent = 'incident' THEN 'x' END AS incident FROM eval_items")
+        .replace("8 // len(route)", "4 // len(route)").replace("QUALIFY place <= 8", "QUALIFY place <= 4"))
+
+
+@query(_FIX + _GOT.replace("SELECT pl.query_id, place AS pos", "SELECT pl.query_id // 2 AS query_id, pl.query_id % 2 * 4 + place AS pos") + _BLOCKS + "SELECT query_id AS request_id, md5(context) AS context_md5, blocks FROM co")
+def retrieve_for_fix(spark: SparkSession, d: str) -> DataFrame:
+    """The context of a change request, each evaluation question taken for one: two phrasings, their pieces together."""
+    r = load(spark, d, "eval_items").select(F.col("item_id").alias("request_id"), F.col("query").alias("request"), "repo", F.when(F.col("intent") == "incident", "x").alias("incident"))
+    return S.fix_context(pieces(spark, d), r, S.hash_embedding).select("request_id", F.md5("context").alias("context_md5"), "blocks")
