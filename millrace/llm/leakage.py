@@ -65,6 +65,8 @@ MARKUP = re.compile(r"<!--(?:[^-]|-(?!->))*+-->|</?[A-Za-z][^<>]*+>|\]\([^()\s]*
 HYPHENED = re.compile(r"[-‐‑\xad]\s*\n\s*(?=[^\W\d_])")
 CJK = re.compile(r"([぀-ヿ㐀-䶿一-鿿가-힯])")
 JUNK = re.compile(r"[^\w\s]+|_+")
+MARKUP_SIGNS, HYPHENS = ("<", "](", "|", "/", "—"), "-‐‑\xad"  # without one of them there is nothing to replace
+ASCII_JUNK = {c: None for c in range(128) if not (chr(c).isalnum() or chr(c).isspace())}  # what JUNK finds in ASCII
 MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]+")  # combining marks
 SPELLED = re.compile("[œæøłđðþı]")
 PLAIN = str.maketrans({"œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
@@ -93,8 +95,11 @@ def words(text: str | None) -> list[str]:
         text = CJK.sub(r" \1 ", text)
     else:
         text = text.lower()
-    text = HYPHENED.sub("", MARKUP.sub(" ", text))
-    return JUNK.sub("", text).split()
+    if any(c in text for c in MARKUP_SIGNS):
+        text = MARKUP.sub(" ", text)
+    if any(c in text for c in HYPHENS):
+        text = HYPHENED.sub("", text)
+    return (text.translate(ASCII_JUNK) if text.isascii() else JUNK.sub("", text)).split()
 
 
 def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -313,8 +318,7 @@ class Block:
         diagonal, m = where - pos + (1 << 22), FEWEST_SEEDS - 1
         for shift in (0, SLACK):  # in order: enough seeds on diagonals within 2 * SLACK; two ways of cutting, so that no passage is cut in both
             key = (who << 24) | ((diagonal + shift) // (2 * SLACK))
-            order = np.lexsort((pos, key))
-            k, p = key[order], pos[order]
+            k, p = _in_order(key, pos)
             found = np.flatnonzero((k[m:] == k[:-m]) & (p[m:] - p[:-m] <= LEAST - SEED)) if len(k) > m else ()
             for x, lo, hi in _spans(k, p, found, m):
                 d = (x & (1 << 24) - 1) * 2 * SLACK - shift - (1 << 22)
@@ -385,6 +389,18 @@ class Block:
         return [i for ids, doubts in self.leaks(text) if doubts is None or not all(map(self.rival, doubts)) for i in ids]
 
 
+def _in_order(key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of key and position, sorted by both: as one number where they fit into it."""
+    if len(key) and int(key.max()) < 1 << 42 and int(pos.max()) < 1 << 21:
+        both = np.sort((key << 21) | pos)
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+        return both >> 21, both & (1 << 21) - 1
+    order = np.lexsort((pos, key))
+    key, pos = key[order], pos[order]
+    once = np.concatenate([[True], (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])]) if len(key) else np.zeros(0, bool)
+    return key[once], pos[once]
+
+
 def _spans(key: np.ndarray, pos: np.ndarray, found: np.ndarray, m: int, whole: bool = False) -> Iterator[tuple[int, int, int]]:
     """(key, first position, last position) of each key with findings: over what was found, or over all the key has."""
     if not len(found):
