@@ -243,6 +243,7 @@ class Place(NamedTuple):
     first: int
     last: int
     diagonal: int | None = None  # middle of those the seeds lie on, if they are in order
+    within: int = 0  # how far from it equal words may lie
 
 
 class Block:
@@ -316,14 +317,25 @@ class Block:
         post = np.repeat(self.first[at[hit]], rep) + np.arange(len(where)) - np.repeat(np.cumsum(rep) - rep, rep)
         who, pos = self.who[post], self.pos[post]
         diagonal, m = where - pos + (1 << 22), FEWEST_SEEDS - 1
+        bands: dict[int, list[tuple[int, int, int]]] = {}
         for shift in (0, SLACK):  # in order: enough seeds on diagonals within 2 * SLACK; two ways of cutting, so that no passage is cut in both
             key = (who << 24) | ((diagonal + shift) // (2 * SLACK))
             k, p = _in_order(key, pos)
             found = np.flatnonzero((k[m:] == k[:-m]) & (p[m:] - p[:-m] <= LEAST - SEED)) if len(k) > m else ()
             for x, lo, hi in _spans(k, p, found, m):
                 d = (x & (1 << 24) - 1) * 2 * SLACK - shift - (1 << 22)
+                bands.setdefault(x >> 24, []).append((d, lo, hi))
+        for x, found in bands.items():  # neighbours are looked at together
+            found.sort()
+            d0, d1, lo, hi = *found[0][:1] * 2, *found[0][1:]
+            for d, a, b in [*found[1:], (1 << 40, 0, 0)]:
+                if d - d1 <= 2 * SLACK and a <= hi + LEAST and b >= lo - LEAST:
+                    d1, lo, hi = d, min(lo, a), max(hi, b)
+                    continue
                 first, last = max(0, lo - LEAST), hi + SEED + LEAST
-                near.setdefault(x >> 24, []).append(Place(max(0, first + d - SLACK), max(0, last + d + 3 * SLACK), first, last, d + SLACK))
+                near.setdefault(x, []).append(Place(max(0, first + d0 - SLACK), max(0, last + d1 + 3 * SLACK), first, last, (d0 + d1) // 2 + SLACK, (d1 - d0 + 1) // 2 + 2 * SLACK))
+                d0 = d1 = d
+                lo, hi = a, b
         code = np.sort((who << 48) | (diagonal << 24) | pos)
         m = MOVED - SEED
         runs = code[:-m][code[m:] - code[:-m] == m]  # blocks of MOVED words
@@ -342,11 +354,11 @@ class Block:
     def leaked(self, k: int, ids: np.ndarray, said: list[str], places: list[Place]) -> list[Doubt] | None:
         """What speaks for a leak of the k-th item: None if it is one for sure, else the stretches that may be one."""
         doubts: list[Doubt] = []
-        for lo, hi, first, last, diagonal in places:
+        for lo, hi, first, last, diagonal, within in places:
             part, doc = self.items[k][first:last], ids[lo:hi]
             if len(part) < LEAST:
                 continue
-            equal = np.isin(part, doc[doc > 0]) if diagonal is None else _about(part, doc, diagonal + first - lo, 2 * SLACK)
+            equal = np.isin(part, doc[doc > 0]) if diagonal is None else _about(part, doc, diagonal + first - lo, within)
             if _counts(equal).max() < LEAST - EDITS:
                 continue
             found = tiles(part.tolist(), doc.tolist())
@@ -426,9 +438,14 @@ def _about(item: np.ndarray, doc: np.ndarray, diagonal: int, within: int = SLACK
     lo, hi = max(0, diagonal - within), min(len(doc), diagonal + within + len(item))
     if lo < hi:
         padded[lo - diagonal + within:hi - diagonal + within] = doc[lo:hi]
+    if len(item) <= len(STEPS) and 2 * within < STEPS.shape[1]:
+        return (padded[STEPS[:len(item), :2 * within + 1]] == item[:, None]).any(1)
     return (padded[np.arange(len(item))[:, None] + np.arange(2 * within + 1)] == item[:, None]).any(1)
 
 
+STEPS = np.arange(512)[:, None] + np.arange(64)
+
+
 def word_hash(w: str) -> int:
     return xxhash.xxh3_64_intdigest(w) - (1 << 63)
 
@@ -499,12 +516,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
             b = sent.value
             for batch in batches:
                 rows: list[tuple] = []
+                known: dict[str, list[tuple]] = {}  # copies in a batch are judged once
                 for i, t in enumerate(batch.column(1).to_pylist()):
-                    if whole:
-                        rows += [(i, x, None, None, None) for x in b.sure(t)]
-                        continue
-                    for ids, doubts in b.leaks(t):
-                        rows += [(i, x, *(d or (None, None, None))) for x in ids for d in (doubts or [None])]
+                    if (got := known.get(t)) is None:
+                        if whole:
+                            got = [(x, None, None, None) for x in b.sure(t)]
+                        else:
+                            got = [(x, *(d or (None, None, None))) for ids, doubts in b.leaks(t) for x in ids for d in (doubts or [None])]
+                        known[t] = got
+                    rows += [(i, *x) for x in got]
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int32())), pa.array(cols[1], pa.int64()), *[pa.array(c, t) for c, t in zip(cols[2:], types)]],
                                                  names=["doc", "item", "stretch", "part", "most"])
