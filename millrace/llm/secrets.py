@@ -392,7 +392,7 @@ def mask(text: str | None, path: str | None = None) -> str | None:
 def scan(df: DataFrame, id_col: str = "hit_id", text_col: str = "text", path_col: str | None = "path") -> DataFrame:
     """(id, line_no, start, length) of each credential: its first line, counted by line feeds, and its offsets."""
     kind = dict(df.dtypes)[id_col]
-    path = F.col(path_col) if path_col in df.columns else F.lit(None).cast("string")
+    path = F.col(path_col).cast("string") if path_col in df.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -409,7 +409,7 @@ def scan(df: DataFrame, id_col: str = "hit_id", text_col: str = "text", path_col
 
 def redact(df: DataFrame, text_col: str = "text", path_col: str | None = "path") -> DataFrame:
     """The table with the credentials of one column masked; all other columns, and the order of columns, unchanged."""
-    path = F.col(path_col) if path_col in df.columns else F.lit(None).cast("string")
+    path = F.col(path_col).cast("string") if path_col in df.columns else F.lit(None).cast("string")
 
     @F.pandas_udf("string")
     def masked(s: pd.Series, p: pd.Series) -> pd.Series:
