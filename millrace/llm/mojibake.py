@@ -15,7 +15,7 @@ chain inverts stays as it is; repeated rows give repeated results; an empty or w
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -148,14 +148,9 @@ class Model:
         self.w = weights
 
     @classmethod
-    def of(cls, lines: list[str]) -> Model:
-        """Fits the weights by AdaGrad over every chain's version of every line."""
-        samples: list[tuple[np.ndarray, int]] = []
-        for k, chain in enumerate(CHAINS):
-            for s in lines:
-                g = garble(s, chain)
-                if g is not None and (not k or g != s) and len(f := _bigrams(g)):
-                    samples += [(f, k)] * (1 if k else CLEAN_COPIES)
+    def of(cls, features: Iterable[tuple[int, np.ndarray]]) -> Model:
+        """Fits the weights by AdaGrad over the features of every chain's version of every line: (chain, features), chain by chain."""
+        samples = [(f, k) for k, f in features for _ in range(1 if k else CLEAN_COPIES)]
         w = np.zeros((BUCKETS, len(CHAINS)), np.float32)
         seen = np.full((BUCKETS, 1), 1e-6, np.float32)
         rng = np.random.default_rng(7)
@@ -245,15 +240,44 @@ def clean_lines(lines: list[str]) -> list[str]:
     return [s for s in map(lambda x: SPACES.sub(" ", x), lines) if "�" not in s and not QUOTED.search(s) and not _undo_runs(s, "cp1252")[1]]
 
 
+def versions(s: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(chain, features) of a clean line put through every chain that changes it."""
+    for k, chain in enumerate(CHAINS):
+        g = garble(s, chain)
+        if g is not None and (not k or g != s) and len(f := _bigrams(g)):
+            yield k, f
+
+
 def fit(df: DataFrame, text_col: str = "text", sample_lines: int = SAMPLE_LINES) -> Model:
-    """Fits the classifier on a bounded sample: the sample_lines non-ASCII lines of smallest hash of text and position."""
+    """Fits the classifier on a bounded sample: the sample_lines non-ASCII lines of smallest hash of text and position.
+
+    The executors garble the sample and hash its bigrams; what comes to the driver is bounded by sample and chains.
+    """
     lines = (df.select(F.col(text_col).alias("t"), F.posexplode(F.split(F.col(text_col), "\n")).alias("p", "s")).where(F.col("s").rlike(r"[^\x00-\x7f]") & (F.length("s") <= LINE_CHARS))
              .select("s", F.xxhash64("t", "p").alias("h")).orderBy("h", "s").limit(sample_lines))
-    return train([r.s for r in lines.collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, ks, fs = [], [], []
+            for s, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for clean in clean_lines([s]):
+                    for k, f in versions(clean):
+                        h.append(at), ks.append(k), fs.append(f.astype(np.int32))
+            sizes = np.concatenate([[0], np.cumsum([len(f) for f in fs])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(fs) if fs else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(h, pa.int64()), lists], names=["k", "h", "f"])
+
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    got = lines.repartition(parts).mapInArrow(run, "k int, h long, f array<int>").toArrow().sort_by([("k", "ascending"), ("h", "ascending")])
+    chains, lists = got.column("k").to_numpy(), got.column("f").combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+    return Model.of(zip(chains.tolist(), np.split(flat, ends[:-1]) if len(chains) else []))
 
 
 def train(lines: list[str]) -> Model:
-    return Model.of(clean_lines(lines))
+    """The model of lines at hand."""
+    found = [x for s in clean_lines(lines) for x in versions(s)]
+    return Model.of(sorted(found, key=lambda x: x[0]))
 
 
 def restore(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, with_text: bool = True) -> DataFrame:

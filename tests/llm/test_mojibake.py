@@ -66,3 +66,13 @@ def test_table(spark):
     out = M.restore(df, model=MODEL).collect()
     assert [r.doc_id for r in out] == [1, 1] and out[0].recovered and M.garble(out[0].text, (("utf-8", "cp1252"),)) == bad
     assert M.restore(df.limit(0)).count() == 0
+
+
+def test_fit_on_tables(spark):
+    """Fitting by the executors equals fitting here; tables without anything to learn from give no rows."""
+    bad = M.garble(line("de"), (("utf-8", "cp1252"),))
+    rows = [(i, s, i) for i, s in enumerate(CLEAN[::4])] + [(9001, bad, 0), (9002, None, 0), (9003, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(3)
+    assert 9001 in {r.doc_id for r in M.restore(df).collect()} and M.fit(df).w.any()
+    for none in (df.limit(0), df.where("doc_id > 9001")):
+        assert not M.fit(none).w.any() and M.restore(none).count() == 0
