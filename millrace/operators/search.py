@@ -235,7 +235,7 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = LEXICAL_K, id_col:
         words = spark.createDataFrame([(t,) for t in {t for c in counts for t in c}], "term string")
         weight: dict[tuple[str, str], float] = {}
         avgdl: dict[str, float] = {}
-        for r in stats.join(words, "term", "left_semi").toLocalIterator():
+        for r in stats.join(F.broadcast(words), "term", "left_semi").collect():  # a block's words only
             weight[r[group], r.term], avgdl[r[group]] = r.idf, r.avgdl
         lists: dict[str, dict[str, tuple[np.ndarray, np.ndarray]]] = {}
         holders: dict[str, list[int]] = {}

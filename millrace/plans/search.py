@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from millrace.functions import text as T
 from millrace.operators import search as S
@@ -27,9 +27,10 @@ def query(sql: str | None):
     return add
 
 
-def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """The indexed pieces, repeated rows once. An id is made of collection, path and index, so the rows it stands for are equal."""
-    return load(spark, d, "chunks").dropDuplicates(["id"])
+def corpus(spark: SparkSession, d: str, *cols: str | Column) -> DataFrame:
+    """The indexed pieces, repeated rows once. An id is made of collection, path and index, so rows of one id are equal in all
+    columns, and whole rows can be made distinct by hash instead of sorting texts by id."""
+    return load(spark, d, "chunks").select(*cols).distinct()
 
 
 def cases(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +71,7 @@ t AS (SELECT raw.*, CASE WHEN idf0 < 0 THEN 0.25 * mean_idf ELSE idf0 END AS idf
 
 @query(_STATS + "SELECT collection, term, df, round(idf, 6) AS idf FROM t")
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    return S.corpus_stats(corpus(spark, d))[1].withColumn("idf", F.round("idf", 6))
+    return S.corpus_stats(corpus(spark, d, "id", "collection", "text"))[1].withColumn("idf", F.round("idf", 6))
 
 
 _SCORES = _STATS + r""", q AS (SELECT item_id, term, count(*) AS qn FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(query), '[\s\x0B\x{85}\p{Z}]+'), lambda x: x <> '')) AS term FROM eval_items) GROUP BY 1, 2),
@@ -82,7 +83,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY sc
 
 @query(_SCORES + "SELECT query_id, collection, id, score, rank FROM b")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return S.bm25_topk(corpus(spark, d), load(spark, d, "eval_items")).select("query_id", "collection", "id", "score", "rank")
+    return S.bm25_topk(corpus(spark, d, "id", "collection", "text"), load(spark, d, "eval_items")).select("query_id", "collection", "id", "score", "rank")
 
 
 _RANKS = f"""WITH h AS (SELECT query_id, collection, {_KEY} AS path_key, chunk, min(pos::BIGINT * 1000000000 + hit_id) AS p, min(coalesce(distance, 1.0)) AS d FROM hits GROUP BY 1, 2, 3, 4),
@@ -126,7 +127,7 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
 
 def retrieved(spark: SparkSession, d: str, k: int = S.TOP_K) -> DataFrame:
     """Lexical retrieval of every case at once: routed collections, their fan-out, nearest first, cut at k."""
-    found = S.bm25_topk(corpus(spark, d), load(spark, d, "eval_items"))
+    found = S.bm25_topk(corpus(spark, d, "id", "collection", "text"), load(spark, d, "eval_items"))
     route = cases(spark, d).select(F.col("item_id").alias("query_id"), F.posexplode("route").alias("col_pos", "collection"), S.per_collection(k, F.size("route")).alias("fan_out"))
     kept = found.join(F.broadcast(route), ["query_id", "collection"]).where("rank <= fan_out").withColumn("distance", F.round(1.0 / (1.0 + F.col("score")), 6))
     w = W.partitionBy("query_id").orderBy("distance", "col_pos", "rank")
@@ -160,7 +161,7 @@ def with_vectors(x: DataFrame, text: str) -> DataFrame:
 def retrieve_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Every evaluation case through the whole of retrieval: routing, vectors, words, fusion, boosts, documents of its repository."""
     q = cases(spark, d).select(F.col("item_id").alias("query_id"), "query", "route", "repo")
-    return S.retrieve(with_vectors(corpus(spark, d).select("id", "collection", "repo", "kind", "text"), "text"), with_vectors(q, "query"), hybrid=True)
+    return S.retrieve(with_vectors(corpus(spark, d, "id", "collection", "repo", "kind", "text"), "text"), with_vectors(q, "query"), hybrid=True)
 
 
 @query(_HYBRID.replace(" UNION ALL SELECT query_id, collection, id, distance, r0 + 1048576, (1 - 0.7::DOUBLE) / (r0 + 61), 1 FROM ll", "")
@@ -168,7 +169,7 @@ def retrieve_hybrid(spark: SparkSession, d: str) -> DataFrame:
 def retrieve_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The same without the lexical side: by boosted distance."""
     q = cases(spark, d).select(F.col("item_id").alias("query_id"), "query", "route", "repo")
-    return S.retrieve(with_vectors(corpus(spark, d).select("id", "collection", "repo", "kind", "text"), "text"), with_vectors(q, "query"), hybrid=False).drop("rrf_score")
+    return S.retrieve(with_vectors(corpus(spark, d, "id", "collection", "repo", "kind", "text"), "text"), with_vectors(q, "query"), hybrid=False).drop("rrf_score")
 
 
 _CASES = _SCORES + f""", e AS (SELECT *, {_INTENT} AS kind FROM eval_items),
@@ -188,7 +189,7 @@ z AS (SELECT ro.item_id, any_value(coalesce(expect_path_contains, '')) AS expect
 def eval_cases(spark: SparkSession, d: str) -> DataFrame:
     """One row a case: whether a retrieved piece is the expected one. All cases are one plan."""
     best = retrieved(spark, d)
-    pieces = corpus(spark, d).select("id", "repo", "path", F.substring("text", 1, 200).alias("text"))
+    pieces = corpus(spark, d, "id", "repo", "path", F.substring("text", 1, 200).alias("text"))
     found = best.join(pieces, "id")  # 8 rows a case meet the corpus; only ids and heads of texts are read
     c = load(spark, d, "eval_items").select("item_id", F.coalesce("expect_path_contains", F.lit("")).alias("expect"), "match_path_only")
     rows = c.join(found.withColumnRenamed("query_id", "item_id"), "item_id", "left")
@@ -218,7 +219,7 @@ ev AS (SELECT item_id, coalesce(ok, false) AS ok, coalesce(hits, 0) AS hit_count
 
 
 def pieces(spark: SparkSession, d: str) -> DataFrame:
-    return with_vectors(corpus(spark, d).select("id", "collection", "repo", "path", "chunk", "kind", "text"), "text")
+    return with_vectors(corpus(spark, d, "id", "collection", "repo", "path", "chunk", "kind", "text"), "text")
 
 
 @query(_EVALUATED + "SELECT item_id, ok, hit_count, top_distance, context_chars, context_chunks FROM ev")
