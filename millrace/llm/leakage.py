@@ -38,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.operators.blocks import each_block
 from millrace.session import cut_lineage
@@ -500,7 +501,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     spark = docs.sparkSession
     pair = f"doc {dict(docs.dtypes)[doc_id]}, item {dict(items.dtypes)[item_id]}"
     doubt = f"{pair}, stretch array<string>, part array<string>, most int"
-    types = [pa.list_(pa.string()), pa.list_(pa.string()), pa.int32()]
+    types = [to_arrow_type(items.schema[item_id].dataType), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32()]
     src = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("t")).where(F.length("t") > 0)
     alone = [True]
 
@@ -526,7 +527,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
                         known[t] = got
                     rows += [(i, *x) for x in got]
                 cols = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int32())), pa.array(cols[1], pa.int64()), *[pa.array(c, t) for c, t in zip(cols[2:], types)]],
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int32())), *[pa.array(c, t) for c, t in zip(cols[1:], types)]],
                                                  names=["doc", "item", "stretch", "part", "most"])
 
         return src.mapInArrow(run, doubt)

@@ -101,6 +101,8 @@ def test_table_and_blocks(spark):
     want = [(1, 7), (1, 9), (4, 9)]
     assert sorted(map(tuple, K.find_leaks(docs, items).collect())) == want
     assert sorted(map(tuple, K.find_leaks(docs, items, most=40).collect())) == want
+    named = items.selectExpr("concat('item', item_id) AS item_id", "text", "item_id AS doc", "1 AS i")
+    assert sorted(map(tuple, K.find_leaks(docs.selectExpr("CAST(doc_id AS int) AS doc_id", "text", "1 AS t"), named).collect())) == [(d, f"item{i}") for d, i in want]
     assert K.find_leaks(docs, items.limit(0)).count() == 0 == K.find_leaks(docs.limit(0), items).count()
 
 
