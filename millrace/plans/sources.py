@@ -93,8 +93,7 @@ def source_collections(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 0")
 def source_jdbc(spark: SparkSession, d: str) -> DataFrame:
     """A table of a database read by four connections, each a range of the key, with the filter pushed down."""
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
-    load(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal").coalesce(1).write.format("jdbc").option("url", url).option("dbtable", "customer").save()
+    url = jdbc.embedded(load(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), "customer", folder(spark))
     lo, hi = load(spark, d, "customer").agg(F.min("c_custkey"), F.max("c_custkey")).first()
     return jdbc.table(spark, url, "customer", "c_custkey", lo, hi, 4).where("c_acctbal > 0")
 

@@ -1,6 +1,11 @@
 import json
+import os
+import subprocess
+import sys
 import uuid
+from pathlib import Path
 
+import pyspark
 from pyspark.sql import functions as F
 
 from millrace.operators.incidents import RAW
@@ -40,6 +45,34 @@ def test_database_source(spark):
     assert t.rdd.getNumPartitions() == 4 and t.where("id >= 90").agg(F.sum("v")).first()[0] == sum(2 * i for i in range(90, 100))
 
 
+CUSTOMERS = [(1, 'a "q", b\n c\r\n"', 0.1 + 0.2), (2, "", 1e-17), (3, None, 2.5), (4, "  lead, trail ", 1e300), (5, '","', 5.0), (6, "\\", 6.0), (7, "é😀" * 50_000, 7.0), (8, "none", 0.0), (9, "less", -1.0), (10, "null", None), (None, "no key", 8.0)]
+ELSEWHERE = """
+import sys
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+import test_sources
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", f"file://{sys.argv[1]}/shared folder's").getOrCreate()
+spark.createDataFrame(test_sources.CUSTOMERS, "c_custkey long, c_name string, c_acctbal double").write.parquet(f"{sys.argv[1]}/customer.parquet")
+t = entry.queries()["source_jdbc"](spark, sys.argv[1])
+assert t.rdd.getNumPartitions() == 4 and "GreaterThan(c_acctbal,0.0)" in t._jdf.queryExecution().toString().split("PushedFilters")[1]
+assert {tuple(r) for r in t.collect()} == {r for r in test_sources.CUSTOMERS if (r[2] or 0) > 0} and t.count() == 8
+spark.stop()
+"""
+
+
+def test_database_read_by_executors_of_their_own(tmp_path):
+    (tmp_path / "home").mkdir()
+    for p in Path(pyspark.__path__[0]).iterdir():  # the executors' logs go to work in Spark's home
+        if p.name != "work":
+            (tmp_path / "home" / p.name).symlink_to(p)
+    tests = Path(__file__).resolve().parent
+    env = os.environ | {"SPARK_HOME": str(tmp_path / "home"), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable, "PYTHONPATH": f"{tests.parent}:{tests}:{os.environ.get('PYTHONPATH', '')}"}
+    for k in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET"):
+        env.pop(k, None)
+    run = subprocess.run([sys.executable, "-c", ELSEWHERE, str(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-3000:]
+
+
 def test_outbox_is_idempotent(spark, tmp_path):
     b = spark.createDataFrame([("f", 1, 1, "new", True), ("f", 2, 2, "duplicate", False)], lifecycle.OUT)
     write = lifecycle.outbox(str(tmp_path / "out"))
